@@ -1,0 +1,33 @@
+"""Queries of the training-data problems tagged llm."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lumenfold.llm import clusters, vectors
+from lumenfold.session import table
+
+
+def p1_found(spark, sf_dir):
+    """Pairs of photos of which one is among the five most similar photos of the other."""
+    return vectors.similar_pairs(table(spark, sf_dir, "embedding"))
+
+
+def p1_neighbours(spark, sf_dir):
+    """The five most similar photos of each photo with their similarity."""
+    return vectors.neighbours(table(spark, sf_dir, "embedding")).withColumn("similarity", F.round("similarity", 4))
+
+
+def p4_found(spark, sf_dir):
+    """Each photo of a cluster with the cluster's name and its most typical member."""
+    members, described = clusters.similarity_clusters(table(spark, sf_dir, "embedding"))
+    return members.join(described, "cluster").select("photo_id", F.col("cluster").alias("cluster_key"), "typical_id")
+
+
+def p4_clusters(spark, sf_dir):
+    """Each cluster with its size, its most typical member and that member's mean similarity."""
+    return clusters.similarity_clusters(table(spark, sf_dir, "embedding"))[1]
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_clusters)}
+ORACLES: dict[str, str] = {}
