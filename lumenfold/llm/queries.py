@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenfold.llm import clusters, vectors
+from lumenfold.llm import clusters, mixing, near_duplicates, survivors, tokens, vectors
 from lumenfold.session import table
 
 
@@ -29,5 +29,53 @@ def p4_clusters(spark, sf_dir):
     return clusters.similarity_clusters(table(spark, sf_dir, "embedding"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_clusters)}
-ORACLES: dict[str, str] = {}
+def p5_found(spark, sf_dir):
+    """Pairs of photos whose perceptual hashes and color histograms are both close."""
+    return near_duplicates.near_duplicate_pairs(table(spark, sf_dir, "accepted"))
+
+
+def p6_found(spark, sf_dir):
+    """The record that gives each field of an asset's survivor."""
+    return survivors.surviving_members(table(spark, sf_dir, "member_record")).select("asset_key", "blur_record_id", "captured_record_id", "path_record_id")
+
+
+def p6_votes(spark, sf_dir):
+    """Survivors by summed votes: trust times a decay of half in thirty days, with the share of the votes."""
+    return survivors.surviving_members(table(spark, sf_dir, "member_record"), half_life_days=30.0)
+
+
+def p7_ids(spark, sf_dir):
+    """The token ids of every document."""
+    return tokens.encode(table(spark, sf_dir, "documents"))
+
+
+def p7_decoded(spark, sf_dir):
+    """Every text encoded and put together again from its ids."""
+    return tokens.decode(tokens.encode(table(spark, sf_dir, "documents"))).select("doc_id", "text")
+
+
+def p8_mixture(spark, sf_dir):
+    """The largest mixture that gives each source its share, one row for each copy of a document."""
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_target")).select("doc_id", "source", "copy", "n_tokens")
+
+
+def p8_shares(spark, sf_dir):
+    """The shares that mixture reaches, beside the targets."""
+    targets = table(spark, sf_dir, "source_target")
+    return mixing.reached_shares(mixing.mixture(table(spark, sf_dir, "documents"), targets), targets)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_clusters, p5_found, p6_found, p6_votes, p7_ids, p7_decoded, p8_mixture, p8_shares)}
+ORACLES = {
+    "p6_found": r"""
+WITH r AS (SELECT upper(regexp_replace(asset_key, '^\s+|\s+$', '', 'g')) AS k, record_id AS id, blur_score AS b, captured_at AS c,
+  CASE lower(trim(timestamp_source)) WHEN 'exif' THEN 3 WHEN 'mtime' THEN 2 ELSE 1 END AS t, relative_path AS p, recorded_at AS ra FROM member_record WHERE record_id IS NOT NULL AND asset_key IS NOT NULL),
+g AS (SELECT k FROM r WHERE k <> '' GROUP BY k HAVING count(DISTINCT id) > 1),
+b AS (SELECT k, id FROM r WHERE b >= 0 AND NOT isnan(b) AND NOT isinf(b) QUALIFY row_number() OVER (PARTITION BY k ORDER BY b DESC, id) = 1),
+c AS (SELECT k, id FROM r WHERE regexp_matches(c, '^\s*\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}') AND try_cast(c AS TIMESTAMP) IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY t DESC, ra DESC NULLS LAST, id) = 1),
+p AS (SELECT k, id FROM r WHERE regexp_replace(p, '\s', '', 'g') <> '' QUALIFY row_number() OVER (PARTITION BY k ORDER BY ra DESC NULLS LAST, id) = 1)
+SELECT g.k AS asset_key, coalesce(b.id, -1) AS blur_record_id, coalesce(c.id, -1) AS captured_record_id, coalesce(p.id, -1) AS path_record_id
+FROM g LEFT JOIN b USING (k) LEFT JOIN c USING (k) LEFT JOIN p USING (k)
+""",
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}
