@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenfold.llm import clusters, mixing, near_duplicates, survivors, tokens, vectors
+from lumenfold.llm import clusters, mixing, near_duplicates, subjects, survivors, tokens, vectors
 from lumenfold.session import table
 
 
@@ -65,7 +65,12 @@ def p8_shares(spark, sf_dir):
     return mixing.reached_shares(mixing.mixture(table(spark, sf_dir, "documents"), targets), targets)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_clusters, p5_found, p6_found, p6_votes, p7_ids, p7_decoded, p8_mixture, p8_shares)}
+def p9_found(spark, sf_dir):
+    """The subjects each document is about."""
+    return subjects.document_subjects(*(table(spark, sf_dir, t) for t in ("documents", "subject_label", "subject_area")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_clusters, p5_found, p6_found, p6_votes, p7_ids, p7_decoded, p8_mixture, p8_shares, p9_found)}
 ORACLES = {
     "p6_found": r"""
 WITH r AS (SELECT upper(regexp_replace(asset_key, '^\s+|\s+$', '', 'g')) AS k, record_id AS id, blur_score AS b, captured_at AS c,
