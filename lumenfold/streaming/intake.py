@@ -24,9 +24,13 @@ def first_deliveries(stream: DataFrame, key: str = "media_id", time: str = "inge
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def window_counts(stream: DataFrame, time: str = "ingested_at", width: str = "1 day", late: str = "7 days") -> DataFrame:
-    """(window_start, classification, n, bytes) of tumbling windows; rows later than the watermark are left out."""
-    windowed = stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), "classification").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"))
+def window_counts(stream: DataFrame, time: str = "ingested_at", width: str = "1 day", late: str | None = "7 days") -> DataFrame:
+    """(window_start, classification, n, bytes) of tumbling windows; rows later than the watermark are left out.
+
+    ``late=None``: the stream has its watermark already, for instance from ``first_deliveries``.
+    """
+    marked = stream.withWatermark(time, late) if late else stream
+    windowed = marked.groupBy(F.window(time, width).alias("w"), "classification").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"))
     return windowed.select(F.col("w.start").alias("window_start"), "classification", "n", "bytes")
 
 
