@@ -30,13 +30,13 @@ class IndexParams:
     """Bounds and widths of the index; all of them are documented limits of the fit, not of the data."""
 
     dim: int = 128
-    list_target: int = 256  # vectors for which one centroid is wanted
-    fit_sample: int = 16_384  # vectors the centroids are fitted on, at most
-    max_centroids: int = 2_048  # rows of the table that is sent to the executors, at most
-    member_lists: int = 4  # lists a boundary vector is stored in, at most
-    search_lists: int = 8  # lists a vector is searched in, at most
-    member_ratio: float = 1.15  # a list stores a vector if it is at most so much farther than the nearest list
-    search_ratio: float = 1.40  # a list is searched if it is at most so much farther than the nearest list
+    list_target: int = 384  # vectors for which one centroid is wanted
+    fit_sample: int = 32_768  # vectors the centroids are fitted on, at most
+    max_centroids: int = 4_096  # rows of the table that is sent to the executors, at most
+    member_lists: int = 6  # lists a boundary vector is stored in, at most
+    search_lists: int = 12  # lists a vector is searched in, at most
+    member_ratio: float = 1.25  # a list stores a vector if it is at most so much farther than the nearest list
+    search_ratio: float = 1.50  # a list is searched if it is at most so much farther than the nearest list
     block_rows: int = 4_096  # members, and searchers, of one block
 
 
@@ -109,42 +109,52 @@ def fit_centroids(x: np.ndarray, leaf: int, most: int, seed: int = 7) -> np.ndar
 
 
 class CentroidGraph:
-    """Beam search over the neighbour graph of the centroids."""
+    """Beam search over the neighbour graph of the centroids, entered through a layer of hubs.
 
-    def __init__(self, centres: np.ndarray, degree: int = 12) -> None:
+    Hubs are centroids of the centroids; each knows the ``fan`` centroids nearest to it. A
+    search compares with all hubs, starts from what the best of them know, and follows the
+    links of the best centroids that aren't opened yet until none of the beam is left.
+    """
+
+    def __init__(self, centres: np.ndarray, degree: int = 16, fan: int = 16) -> None:
         self.centres = centres
         n = len(centres)
-        degree = min(degree, n - 1)
-        near = np.empty((n, degree), dtype=np.int32)
-        for at in range(0, n, 1024):
-            s = centres[at : at + 1024] @ centres.T
-            s[np.arange(len(s)), at + np.arange(len(s))] = -2
-            near[at : at + 1024] = np.argpartition(-s, degree - 1, axis=1)[:, :degree] if degree else 0
-        self.near = near
-        self.entries = np.unique(np.linspace(0, n - 1, max(1, min(n, 4 * math.isqrt(n)))).astype(np.int32))
-
-    def search(self, q: np.ndarray, k: int, beam: int = 12, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
+        self.hubs = fit_centroids(centres, 6, n) if n > 64 else centres
+        self.known = self._nearest(self.hubs, min(fan, n))
+        self.near = self._nearest(centres, min(degree + 1, n))  # itself is one of them
+
+    def _nearest(self, of: np.ndarray, k: int) -> np.ndarray:
+        found = np.empty((len(of), k), dtype=np.int32)
+        for at in range(0, len(of), 1024):
+            s = of[at : at + 1024] @ self.centres.T
+            found[at : at + 1024] = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        return found
+
+    def _merge(self, q: np.ndarray, ids: np.ndarray, sims: np.ndarray, opened: np.ndarray, new: np.ndarray, beam: int) -> tuple:
+        rows = np.arange(len(q))[:, None]
+        got = np.einsum("nd,nkd->nk", q, self.centres[new])
+        ids, sims, opened = np.hstack([ids, new]), np.hstack([sims, got]), np.hstack([opened, np.zeros(new.shape, bool)])
+        order = np.argsort(ids * 2 - opened, axis=1, kind="stable")  # an opened copy comes before others
+        ids, sims, opened = ids[rows, order], sims[rows, order], opened[rows, order]
+        sims[:, 1:][ids[:, 1:] == ids[:, :-1]] = -3
+        top = np.argsort(-sims, axis=1)[:, :beam]
+        sims = sims[rows, top]
+        return ids[rows, top], sims, opened[rows, top] | (sims < -2)
+
+    def search(self, q: np.ndarray, k: int, beam: int = 20, rounds: int = 3, starts: int = 12) -> tuple[np.ndarray, np.ndarray]:
         """Ids and similarities of about the ``k`` nearest centroids of each row, nearest first; id -1 pads."""
         rows = np.arange(len(q))[:, None]
-        s = q @ self.centres[self.entries].T
+        best = np.argsort(-(q @ self.hubs.T), axis=1)[:, :starts]
         beam = max(beam, k)
-        first = np.argsort(-s, axis=1)[:, :beam]
-        ids, sims = self.entries[first], s[rows, first]
-        opened = np.zeros(ids.shape, dtype=bool)
-        for _ in range(rounds if self.near.shape[1] else 0):
+        none = np.zeros((len(q), 0))
+        ids, sims, opened = self._merge(q, none.astype(np.int32), none.astype(np.float32), none.astype(bool), self.known[best].reshape(len(q), -1), beam)
+        for _ in range(rounds):
             width = min(4, ids.shape[1])
-            best = np.argsort(np.where(opened, 9.0, -sims), axis=1)[:, :width]  # the best that aren't opened yet
+            best = np.argsort(np.where(opened, 9.0, -sims), axis=1)[:, :width]
             if opened[rows, best].all():
                 break
             opened[rows, best] = True
-            new = self.near[ids[rows, best]].reshape(len(q), -1)
-            got = np.einsum("nd,nkd->nk", q, self.centres[new])
-            ids, sims, opened = np.hstack([ids, new]), np.hstack([sims, got]), np.hstack([opened, np.zeros(new.shape, bool)])
-            order = np.argsort(ids * 2 - opened, axis=1, kind="stable")  # an opened copy comes before others
-            ids, sims, opened = ids[rows, order], sims[rows, order], opened[rows, order]
-            sims[:, 1:][ids[:, 1:] == ids[:, :-1]] = -3
-            top = np.argsort(-sims, axis=1)[:, :beam]
-            ids, sims, opened = ids[rows, top], sims[rows, top], opened[rows, top] | (sims[rows, top] < -2)
+            ids, sims, opened = self._merge(q, ids, sims, opened, self.near[ids[rows, best]].reshape(len(q), -1), beam)
         order = np.argsort(-sims, axis=1)[:, :k]
         ids, sims = ids[rows, order], sims[rows, order]
         return np.where(sims < -2, -1, ids), sims
