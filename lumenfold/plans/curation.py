@@ -307,7 +307,7 @@ def cluster_medoids(spark, sf):
 
 @query(f"""
 {_GROUPS}, r AS (SELECT *, row_number() OVER (PARTITION BY trip_id, day_name, burst_id ORDER BY {_BEST}) AS i FROM q), f AS (SELECT trip_id, day_name, burst_id, perceptual_hash AS h, color_histogram AS c FROM r WHERE i = 1)
-SELECT photo_id, round(CASE WHEN len(color_histogram) <> len(c) THEN NULL WHEN coalesce(list_sum(color_histogram), 0) = 0 OR coalesce(list_sum(c), 0) = 0 THEN 0 ELSE list_cosine_similarity(color_histogram, c) END, 6) AS histogram_similarity, bit_count(xor(perceptual_hash, h))::INT AS hash_distance FROM q JOIN f USING (trip_id, day_name, burst_id)
+SELECT photo_id, round(CASE WHEN color_histogram IS NULL OR c IS NULL OR len(color_histogram) <> len(c) THEN NULL WHEN coalesce(list_sum(color_histogram), 0) = 0 OR coalesce(list_sum(c), 0) = 0 THEN 0 ELSE list_cosine_similarity(color_histogram, c) END, 6) AS histogram_similarity, bit_count(xor(perceptual_hash, h))::INT AS hash_distance FROM q JOIN f USING (trip_id, day_name, burst_id)
 """)
 def cluster_member_metrics(spark, sf):
     """Each photo's distances to the representative of its burst."""
