@@ -123,7 +123,9 @@ def encode(documents: DataFrame, params: TokenParams = TokenParams(), count_only
     spark = documents.sparkSession
     texts = documents.select("doc_id", "text")
     frequent = distinct_pieces(texts).orderBy(F.desc("n"), "word").limit(params.most_words)
-    table = fold_merges(frequent.select("word").repartition("word"), params).toArrow()
+    # the pieces are few bytes and much work, so their number of partitions is fixed and not merged by size
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    table = fold_merges(frequent.select("word").repartition(parts, "word"), params).toArrow()
     ids = table.column("ids").combine_chunks() if len(table) else pa.array([], pa.list_(pa.int32()))
     dictionary = spark.sparkContext.broadcast((table.column("word").to_pylist(), ids.offsets.to_numpy() if len(table) else np.zeros(1, np.int32), ids.flatten().to_numpy()))  # at most most_words pieces
     path = spark.sparkContext.broadcast(read_ranks(params.vocabulary))  # as many entries as the vocabulary has
