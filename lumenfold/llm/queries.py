@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenfold.llm import clusters, mixing, near_duplicates, subjects, survivors, tokens, vectors
+from lumenfold.llm import clusters, mixing, near_duplicates, oracles, subjects, survivors, tokens, vectors
 from lumenfold.session import table
 
 
@@ -71,16 +71,4 @@ def p9_found(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_clusters, p5_found, p6_found, p6_votes, p7_ids, p7_decoded, p8_mixture, p8_shares, p9_found)}
-ORACLES = {
-    "p6_found": r"""
-WITH r AS (SELECT upper(regexp_replace(asset_key, '^\s+|\s+$', '', 'g')) AS k, record_id AS id, blur_score AS b, captured_at AS c,
-  CASE lower(trim(timestamp_source)) WHEN 'exif' THEN 3 WHEN 'mtime' THEN 2 ELSE 1 END AS t, relative_path AS p, recorded_at AS ra FROM member_record WHERE record_id IS NOT NULL AND asset_key IS NOT NULL),
-g AS (SELECT k FROM r WHERE k <> '' GROUP BY k HAVING count(DISTINCT id) > 1),
-b AS (SELECT k, id FROM r WHERE b >= 0 AND NOT isnan(b) AND NOT isinf(b) QUALIFY row_number() OVER (PARTITION BY k ORDER BY b DESC, id) = 1),
-c AS (SELECT k, id FROM r WHERE regexp_matches(c, '^\s*\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}') AND try_cast(c AS TIMESTAMP) IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY t DESC, ra DESC NULLS LAST, id) = 1),
-p AS (SELECT k, id FROM r WHERE regexp_replace(p, '\s', '', 'g') <> '' QUALIFY row_number() OVER (PARTITION BY k ORDER BY ra DESC NULLS LAST, id) = 1)
-SELECT g.k AS asset_key, coalesce(b.id, -1) AS blur_record_id, coalesce(c.id, -1) AS captured_record_id, coalesce(p.id, -1) AS path_record_id
-FROM g LEFT JOIN b USING (k) LEFT JOIN c USING (k) LEFT JOIN p USING (k)
-""",
-    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
-}
+ORACLES = {"p1_found": oracles.P1, "p4_found": oracles.P4, "p5_found": oracles.P5, "p6_found": oracles.P6, "p7_decoded": oracles.P7_DECODED}
