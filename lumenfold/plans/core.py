@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenfold.operators import nested, timestamps
+from lumenfold.plans import oracles
 from lumenfold.session import table
 
 
@@ -39,4 +40,4 @@ def p3_members(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_manifests, p3_bursts, p3_clusters, p3_members)}
-ORACLES: dict[str, str] = {}
+ORACLES = {"p2_found": oracles.P2, "p3_found": oracles.P3}
