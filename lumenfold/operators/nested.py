@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Fields by which an object is known to be a cluster, burst group or member itself.
 CLUSTER_FIELDS = ("cluster_id", "members", "member_filenames", "representative_filename", "burst_group_ids", "member_count")
@@ -190,8 +191,30 @@ def subtype_tables(flat: DataFrame, variants: list[str], shared: list[str]) -> d
 def manifest_cases(deliveries: DataFrame) -> DataFrame:
     """(manifest_id, cluster_id, burst_group_id, filename): each distinct filename of each cluster once.
 
-    If one cluster lists a filename several times, its first entry with a burst counts.
+    The same members as in ``member_table``, from one pass: clusters and burst groups of a
+    document are exploded together, so it is parsed once, and one shuffle by file brings
+    members and listings to each other. If one cluster lists a filename several times, its
+    first entry counts, or without a listing its first entry with a burst.
     """
-    members = flatten_manifests(deliveries)["members"]
-    order = F.struct(F.col("burst_group_id") == "", F.col("member_pos"))
-    return members.groupBy("manifest_id", "cluster_id", "filename").agg(F.min_by("burst_group_id", order).alias("burst_group_id")).select("manifest_id", "cluster_id", "burst_group_id", "filename")
+    docs = latest_documents(deliveries)
+    tagged = lambda name, own, kind: F.coalesce(F.transform(entries(field(F.col("doc"), name), own), lambda e: F.struct(F.lit(kind).alias("kind"), e["pos"].alias("pos"), e["name"].alias("name"), e["node"].alias("node"))), F.array().cast("array<struct<kind:string,pos:int,name:string,node:variant>>"))
+    groups = docs.select("manifest_id", F.explode(F.concat(tagged("clusters", CLUSTER_FIELDS, "c"), tagged("burst_groups", BURST_FIELDS, "b"))).alias("e")).select("manifest_id", "e.*")
+    node, cluster = F.col("node"), F.col("kind") == "c"
+    read = groups.where((F.col("kind") == "b") | _is_object(node)).select(
+        "manifest_id", "kind", "pos", F.coalesce(F.when(cluster, field(node, "cluster_id", "string")).otherwise(field(node, "burst_group_id", "string")), "name").alias("id"),
+        F.when(cluster, field(node, "members")).alias("members"), field(node, "member_filenames").alias("names"),
+    )
+    listed = F.transform(_names(F.col("names")), lambda x, i: F.struct(i.cast("int").alias("pos"), x.alias("name"), F.lit(None).cast("variant").alias("node")))
+    items = read.select("manifest_id", "kind", "pos", "id", F.explode(F.when(F.col("members").isNull(), listed).otherwise(entries(F.col("members"), MEMBER_FIELDS))).alias("m"))
+    own_node = F.col("m.node")
+    record = _is_object(own_node)
+    filename = F.coalesce(F.when(record, field(own_node, "filename", "string")), F.when(~record, F.try_variant_get(own_node, "$", "string")), F.col("m.name"))
+    files = items.select("manifest_id", "kind", "pos", "id", F.col("m.pos").alias("at"), filename.alias("filename"), F.when(record, field(own_node, "burst_group_id", "string")).alias("own")).where("filename is not null")
+    near = files.repartition("manifest_id", "filename")
+    is_burst, told = F.col("kind") == "b", F.coalesce(F.col("own"), F.lit("")) != ""
+    cases = near.groupBy("manifest_id", "filename", "kind", F.when(~is_burst, F.col("id")).alias("cluster_id")).agg(
+        F.min_by("own", "at").alias("first_own"), F.min_by("own", F.when(told, F.col("at"))).alias("some_own"), F.min_by("id", F.when(is_burst & F.col("id").isNotNull(), F.col("pos"))).alias("listed")
+    )
+    burst = F.max(F.when(is_burst, F.col("listed"))).over(Window.partitionBy("manifest_id", "filename"))
+    found = cases.withColumn("__listed", burst).where("kind = 'c'")
+    return found.select("manifest_id", "cluster_id", F.when(F.col("__listed").isNotNull(), F.coalesce("first_own", "__listed")).otherwise(F.coalesce("some_own", F.lit(""))).alias("burst_group_id"), "filename")
