@@ -38,6 +38,10 @@ class IndexParams:
     member_ratio: float = 1.25  # a list stores a vector if it is at most so much farther than the nearest list
     search_ratio: float = 1.50  # a list is searched if it is at most so much farther than the nearest list
     block_rows: int = 4_096  # members, and searchers, of one block
+    deepen_rows: int = 65_536  # members above which a list gets an index of its own
+    deep_sample: int = 8_192  # rows such an index is fitted on, at most
+    deep_centroids: int = 1_024  # lists it is divided into, at most
+    deep_lists: int = 4  # of these, the most a vector is stored or searched in
 
 
 def as_matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -163,6 +167,58 @@ class CentroidGraph:
 # --- posting lists -------------------------------------------------------------------
 
 
+def choose_lists(graph: CentroidGraph, q: np.ndarray, params: IndexParams, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(list, row, stored) of the lists each row of ``q`` is searched in, and whether they also store it."""
+    ids, sims = graph.search(q, most or params.search_lists)
+    far = np.sqrt(np.maximum(0, 2 - 2 * sims))
+    near = np.maximum(far[:, :1], 1e-3)
+    search = (ids >= 0) & (far <= near * params.search_ratio)
+    store = search & (far <= near * params.member_ratio) & (np.arange(ids.shape[1]) < min(most or params.member_lists, params.member_lists))
+    search[:, 0] = store[:, 0] = True
+    row, col = np.nonzero(search)
+    return ids[row, col], row, store[row, col]
+
+
+def deepen(lists: DataFrame, large: DataFrame, params: IndexParams) -> DataFrame:
+    """``lists`` with each list of ``large`` (list_id, m, s) divided by an index of its own.
+
+    The centroids of a list are fitted in one task on a bounded sample of its rows and meet
+    those rows chunk by chunk, so their table may be as long as the collection needs; a row
+    stays a member only where it was one.
+    """
+    wide = lists.join(large, "list_id")
+    share = F.least(F.lit(1.0), F.lit(params.deep_sample * 0.9) / F.col("m"))
+    sample = wide.where(F.col("member") & (F.pmod(F.xxhash64("id", F.lit(13)), F.lit(1_000_000)) < share * 1_000_000)).select("list_id", "m", "vec")
+
+    def fit(group: pa.Table) -> pa.Table:
+        x = as_matrix(group.column("vec"), params.dim)[: params.deep_sample]
+        wanted = min(params.deep_centroids, math.ceil(group.column("m")[0].as_py() / params.list_target))
+        centres = fit_centroids(x, max(4, math.ceil(len(x) / wanted)), params.deep_centroids)
+        return pa.table({"list_id": group.column("list_id").slice(0, 1), "centres": pa.array([centres.tobytes()], pa.binary())})
+
+    fitted = sample.groupBy("list_id").applyInArrow(fit, "list_id long, centres binary")
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("s") / params.deepen_rows)).cast("int")
+    rows = wide.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(3)), chunks).cast("int")).select("list_id", "chunk", "id", "vec", "member")
+    centres = fitted.join(large, "list_id").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).select("list_id", "chunk", "centres")
+
+    def assign(group: pa.Table, known: pa.Table) -> pa.Table:
+        if not len(group) or not len(known):
+            return group.select(["list_id", "id", "vec", "member"])
+        graph = CentroidGraph(np.frombuffer(known.column("centres")[0].as_py(), np.float32).reshape(-1, params.dim))
+        parts = []
+        for at in range(0, len(group), 1024):
+            piece = group.slice(at, 1024)
+            sub, row, store = choose_lists(graph, as_matrix(piece.column("vec"), params.dim), params, params.deep_lists)
+            out = piece.select(["list_id", "id", "vec", "member"]).take(pa.array(row))
+            ids = (out.column("list_id").to_numpy() + 1) * 1_048_576 + sub
+            member = out.column("member").to_numpy(zero_copy_only=False) & store
+            parts.append(pa.table({"list_id": ids, "id": out.column("id"), "vec": out.column("vec"), "member": member}))
+        return pa.concat_tables(parts)
+
+    divided = rows.groupBy("list_id", "chunk").cogroup(centres.groupBy("list_id", "chunk")).applyInArrow(assign, "list_id long, id long, vec binary, member boolean")
+    return lists.join(large.select("list_id"), "list_id", "left_anti").unionByName(divided)
+
+
 def posting_blocks(vectors: DataFrame, params: IndexParams = IndexParams(), key: str = "photo_id") -> DataFrame:
     """(list_id, block, id, vec, member, searcher): every vector in every list that stores or searches it.
 
@@ -183,23 +239,20 @@ def posting_blocks(vectors: DataFrame, params: IndexParams = IndexParams(), key:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 piece = batch.slice(at, 1024)
-                q = as_matrix(piece.column("vec"), params.dim)
-                ids, sims = graph.search(q, params.search_lists)
-                far = np.sqrt(np.maximum(0, 2 - 2 * sims))
-                near = np.maximum(far[:, :1], 1e-3)
-                search = (ids >= 0) & (far <= near * params.search_ratio)
-                store = search & (far <= near * params.member_ratio) & (np.arange(ids.shape[1]) < params.member_lists)
-                search[:, 0] = store[:, 0] = True
-                row, col = np.nonzero(search)
-                ids_out = piece.column(key).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row, col].astype(np.int32)), ids_out, piece.column("vec").take(pa.array(row)), pa.array(store[row, col])], names=["list_id", "id", "vec", "member"])
-
-    lists = cut(vectors.select(F.col(key).cast("long").alias(key), "vec").mapInArrow(assign, "list_id int, id long, vec binary, member boolean"))
-    sizes = lists.groupBy("list_id").agg(F.count_if("member").alias("m"), F.count("*").alias("s"))
+                list_id, row, store = choose_lists(graph, as_matrix(piece.column("vec"), params.dim), params)
+                picked = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(list_id.astype(np.int64)), piece.column(key).take(picked), piece.column("vec").take(picked), pa.array(store)], names=["list_id", "id", "vec", "member"])
+
+    lists = cut(vectors.select(F.col(key).cast("long").alias(key), "vec").mapInArrow(assign, "list_id long, id long, vec binary, member boolean"))
+    sizes = cut(lists.groupBy("list_id").agg(F.count_if("member").alias("m"), F.count("*").alias("s")))  # one row for each centroid
+    large = sizes.where(F.col("m") > params.deepen_rows)
+    if not large.isEmpty():
+        lists = cut(deepen(lists, large, params))
+        sizes = lists.groupBy("list_id").agg(F.count_if("member").alias("m"), F.count("*").alias("s"))
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / params.block_rows)).cast("int")
     shape = sizes.select("list_id", blocks("m").alias("nm"), blocks("s").alias("ns"))
     own_m, own_s = F.pmod(F.xxhash64("id", F.lit(1)), F.col("nm")).cast("int"), F.pmod(F.xxhash64("id", F.lit(2)), F.col("ns")).cast("int")
-    spread = lists.join(F.broadcast(shape), "list_id").withColumns({"om": own_m, "os": own_s})  # one row for each centroid
+    spread = lists.join(shape, "list_id").withColumns({"om": own_m, "os": own_s})
     as_member = F.col("member") & (F.col("block") % F.col("nm") == F.col("om"))
     as_searcher = F.floor(F.col("block") / F.col("nm")) == F.col("os")
     return (
