@@ -24,6 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from lumenfold.session import cut
 
 #: Fixed value: the pattern that splits text before the merges of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -88,6 +91,15 @@ def distinct_pieces(documents: DataFrame) -> DataFrame:
     return documents.where("text is not null").select(F.explode(F.regexp_extract_all("text", F.lit(JAVA_PATTERN), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def frequent_pieces(pieces: DataFrame, most: int) -> DataFrame:
+    """The most frequent pieces, at most ``most``: whole classes of frequency from the top, without a global sort."""
+    stored = cut(pieces.withColumn("class", F.floor(F.log2("n") * 64)))
+    classes = stored.groupBy("class").agg(F.count("*").alias("k"))  # at most 64 for each power of two
+    whole = Window.orderBy(F.desc("class")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    least = classes.withColumn("so_far", F.sum("k").over(whole)).where(F.col("so_far") <= most).agg(F.min("class")).first()[0]
+    return stored.where(F.col("class") >= (least if least is not None else 1 << 20))
+
+
 def fold_merges(words: DataFrame, params: TokenParams = TokenParams()) -> DataFrame:
     """(word, ids): the ids of each distinct ``word`` of at most ``fold_bytes`` bytes, by a higher-order fold."""
     ranks = rank_table(words.sparkSession, params.vocabulary)
@@ -122,7 +134,7 @@ def encode(documents: DataFrame, params: TokenParams = TokenParams(), count_only
     """
     spark = documents.sparkSession
     texts = documents.select("doc_id", "text")
-    frequent = distinct_pieces(texts).orderBy(F.desc("n"), "word").limit(params.most_words)
+    frequent = frequent_pieces(distinct_pieces(texts), params.most_words)
     # the pieces are few bytes and much work, so their number of partitions is fixed and not merged by size
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     table = fold_merges(frequent.select("word").repartition(parts, "word"), params).toArrow()
