@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import argparse
-import logging
-
 import numpy as np
 
+from lumenfold import logs
 from lumenfold.operators import report
 from lumenfold.run import intake, run
 from lumenfold.session import local_session
@@ -30,7 +29,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--log-level", default="INFO")
     parser.add_argument("--plan-only", action="store_true", help="show what would move and touch nothing")
     args = parser.parse_args(argv)
-    logging.basicConfig(level=args.log_level.upper())
+    logs.configure(args.log_level)
     settings, _ = load_settings(args.root)
     spark = local_session()
     if args.plan_only:

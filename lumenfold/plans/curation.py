@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lumenfold.functions import expr
 from lumenfold.operators import bursts, days, duplicates, labels, linkage, manifests, moves, quality, quota, report
 from lumenfold.session import cut, table
 from lumenfold.settings import QualityLimits
+from lumenfold.streaming import intake
 
 DAY = bursts.DAY
 _SETS = ["trip_id", "day_name"]
@@ -487,3 +489,34 @@ SELECT r.trip_id, r.day_name, r.photo_id, place::INT AS place FROM r JOIN n USIN
 def quota_selection(spark, sf):
     """The album of each trip: ten photos a day, sixty in total, with roll-over."""
     return quota.select_album(_accepted(spark, sf), 10, 60, ["trip_id"], "day_name", [bursts.best_first()]).select(*DAY, "photo_id", "place")
+
+
+@query(f"{_GROUPS} SELECT count(DISTINCT {{'t': trip_id, 'd': day_name, 'b': burst_id}}) AS classified_clusters FROM q")
+def classified_clusters(spark, sf):
+    """How many clusters have a labelled burst."""
+    return labels.classified_clusters(_labelled(spark, sf)[1], DAY)
+
+
+@query(f"WITH {_MEDIA} SELECT media_id, row_number() OVER (PARTITION BY trip_id ORDER BY lower(regexp_extract(source_path, '[^/]*$')), source_path)::INT AS place FROM k")
+def scan_order(spark, sf):
+    """The place of each file in the listing of its trip."""
+    order = Window.partitionBy("trip_id").orderBy(F.lower(expr.file_name(F.col("source_path"))), "source_path")
+    return _media(spark, sf).select("media_id", F.row_number().over(order).alias("place"))
+
+
+@query("""
+SELECT strftime(date_trunc('day', ingested_at AT TIME ZONE 'UTC'), '%Y-%m-%d') AS day, CASE WHEN e IN ('jpg', 'jpeg', 'png', 'heic', 'heif') THEN 'photo' WHEN e IN ('aae', 'avi', 'json', 'm4v', 'mov', 'mp4', 'txt', 'wav', 'xml') THEN 'non_photo' ELSE 'unsupported' END AS classification, count(*) AS n, sum(size_bytes)::BIGINT AS bytes
+FROM (SELECT *, lower(regexp_extract(regexp_extract(source_path, '[^/]*$'), '^.+\\.([^.]+)$', 1)) AS e FROM media WHERE ingested_at IS NOT NULL) GROUP BY 1, 2
+""")
+def intake_windows(spark, sf):
+    """Arrivals of each day and class: the batch form of the stream's windows."""
+    got = intake.window_counts(intake.classified(table(spark, sf, "media")))
+    return got.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "classification", "n", "bytes")
+
+
+@query(f"WITH {_PHOTOS}, m AS (SELECT media_id, min(modified_at) AS w FROM media GROUP BY media_id) SELECT trip_id, count(*) AS photos, count(w) AS with_file, sum(CASE WHEN w IS NULL THEN 1 ELSE 0 END)::BIGINT AS without_file FROM a LEFT JOIN m ON m.media_id = a.photo_id GROUP BY trip_id")
+def record_enrichment(spark, sf):
+    """Accepted photos of each trip with and without the time of a file."""
+    files = table(spark, sf, "media").groupBy("media_id").agg(F.min("modified_at").alias("w"))
+    joined = _accepted(spark, sf).join(files, F.col("photo_id") == F.col("media_id"), "left")
+    return joined.groupBy("trip_id").agg(F.count("*").alias("photos"), F.count("w").alias("with_file"), F.count_if(F.col("w").isNull()).alias("without_file"))

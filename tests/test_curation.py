@@ -237,3 +237,36 @@ def test_report_has_every_counter(spark):
 def test_burst_bound_is_a_parameter(spark):
     rows = [photo(1, 0, 1.0, 0), photo(2, 300, 1.0, 0)]
     assert bursts.burst_edges(spark.createDataFrame(rows, PHOTO), BurstLimits(gap_seconds=300)).count() == 1
+
+
+def test_remote_categorizer_builds_its_request(tmp_path):
+    (tmp_path / "a.png").write_bytes(b"raw")
+    seen = []
+
+    def ask(text, schema, image):
+        seen.append((text, schema, image))
+        return '{"category_name": "food", "rationale": "a plate"}', "r1"
+
+    shrink = lambda data, size, quality: b"%d-%d-" % (size, quality) + data
+    made = labels.build_categorizer({"categorizer_key": "k"}, lambda key: ask, shrink, "m")
+    got = made.categorize("day01", 1, 1, str(tmp_path / "a.png"))
+    assert (got.category_name, got.model_name, got.response_id) == ("food", "m", "r1") and seen[0][2] == "data:image/jpeg;base64,MTAyNC04Mi1yYXc="
+    with pytest.raises(RuntimeError):
+        labels.build_categorizer({}, lambda key: ask, shrink, "m")
+
+
+def test_progress_and_observed_counters(spark, caplog):
+    import logging
+
+    from lumenfold import logs
+
+    said = [i for i in range(1, 46) if logs.progress(logging.getLogger("t"), "step", i, 45)]
+    assert said == [20, 40, 45] and not logs.progress(logging.getLogger("t"), "step", 0, 0)
+    df, watch = logs.observed(spark.range(10), {"n": F.count("*"), "even": F.count_if(F.col("id") % 2 == 0)})
+    df.collect()
+    assert watch.get == {"n": 10, "even": 5}
+
+
+def test_responses_parse_strictly(spark):
+    df = spark.createDataFrame([('{"category_name": "food", "rationale": "r"}',), ("no json",), (None,)], "t string")
+    assert [r[0]["category_name"] if r[0] else None for r in df.select(labels.parse_response(F.col("t"))).collect()] == ["food", None, None]
