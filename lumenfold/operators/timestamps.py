@@ -14,6 +14,8 @@ from zoneinfo import ZoneInfo, available_timezones
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.session import broadcast_if_small
+
 #: English month names as they are abbreviated in the texts.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
@@ -191,6 +193,7 @@ def capture_instants(photo: DataFrame, device: DataFrame, trip: DataFrame) -> Da
     clocks = device.groupBy("device_id").agg(F.min("clock_zone").alias("clock_zone"), F.min("date_order").alias("date_order"))
     hosts = trip.groupBy("trip_id").agg(F.min("host_zone").alias("host_zone"))
     by_file = F.lower(F.trim("timestamp_source")) == "mtime"
-    read = rows.join(clocks, "device_id", "left").join(hosts, "trip_id", "left").withColumn("wall_zone", F.when(by_file, F.col("host_zone")).otherwise(F.col("clock_zone")))
+    # devices and trips are sent along if they are few, so the photos of a hot device stay where they are
+    read = rows.join(broadcast_if_small(clocks, 100_000), "device_id", "left").join(broadcast_if_small(hosts, 200_000), "trip_id", "left").withColumn("wall_zone", F.when(by_file, F.col("host_zone")).otherwise(F.col("clock_zone")))
     found = resolve_instants(read, "captured_at", "wall_zone", "date_order").where("captured_us is not null")
     return found.groupBy("photo_id").agg(F.min("captured_us").alias("captured_us"))

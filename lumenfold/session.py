@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = 8, app: str = "lumenfold", memory: str = "8g", **conf: str) -> SparkSession:
@@ -54,6 +55,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most_rows`` rows; otherwise as it is, to be joined by shuffle."""
+    return F.broadcast(df) if small_enough(df, most_rows) else df
+
+
 def small_enough(df: DataFrame, most_rows: int) -> bool:
     """Whether ``df`` has at most ``most_rows`` rows; reads no more than one row beyond that."""
     return df.limit(most_rows + 1).count() <= most_rows

@@ -125,11 +125,11 @@ def test_renames_swap_and_refuse_taken_targets(spark, tmp_path):
 
 
 def test_settings_and_secrets(tmp_path, monkeypatch):
-    for name in ("OPENAI_API_KEY", "HF_TOKEN", "HUGGINGFACE_HUB_TOKEN"):
+    for name in ("CATEGORIZER_API_KEY", "EMBEDDER_TOKEN", "EMBEDDER_HUB_TOKEN"):
         monkeypatch.delenv(name, raising=False)
-    (tmp_path / ".env").write_text("OPENAI_API_KEY='one'\nHUGGINGFACE_HUB_TOKEN=two\n")
+    (tmp_path / ".env").write_text("CATEGORIZER_API_KEY='one'\nEMBEDDER_HUB_TOKEN=two\n")
     settings, secrets = load_settings(tmp_path)
     assert secrets == {"categorizer_key": "one", "embedder_token": "two"} and not settings.labels.enabled
-    monkeypatch.setenv("OPENAI_API_KEY", "three")
+    monkeypatch.setenv("CATEGORIZER_API_KEY", "three")
     assert load_settings(tmp_path)[1]["categorizer_key"] == "three"
     assert settings.is_managed("day01") and settings.is_managed("to_print") and not settings.is_managed("day1")
