@@ -70,5 +70,12 @@ def p9_found(spark, sf_dir):
     return subjects.document_subjects(*(table(spark, sf_dir, t) for t in ("documents", "subject_label", "subject_area")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_clusters, p5_found, p6_found, p6_votes, p7_ids, p7_decoded, p8_mixture, p8_shares, p9_found)}
+def p9_composition(spark, sf_dir):
+    """How many documents are about each subject, and their share."""
+    found = p9_found(spark, sf_dir)
+    total = table(spark, sf_dir, "documents").select(F.count("*").alias("all"))
+    return found.groupBy("subject").agg(F.count("*").alias("n_docs")).crossJoin(F.broadcast(total)).select("subject", "n_docs", F.round(F.col("n_docs") / F.col("all"), 6).alias("share"))  # one row
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_clusters, p5_found, p6_found, p6_votes, p7_ids, p7_decoded, p8_mixture, p8_shares, p9_found, p9_composition)}
 ORACLES = {"p1_found": oracles.P1, "p4_found": oracles.P4, "p5_found": oracles.P5, "p6_found": oracles.P6, "p7_decoded": oracles.P7_DECODED}
