@@ -38,12 +38,30 @@ def burst_edges(photos: DataFrame, limits: BurstLimits = BurstLimits(), by: list
     return pairs.select(*by, F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
 
 
+def linking_edges(photos: DataFrame, limits: BurstLimits = BurstLimits(), by: list[str] = DAY) -> DataFrame:
+    """(by..., x, y) that connect what ``burst_edges`` connects, without all pairs of copies.
+
+    Photos of one day with the same time, hash and histogram are linked with each other, so
+    one of them stands for all in the band join and the others hang on it. Copies that
+    nothing links (no hash, and no histogram or one of zeros) stay as they are.
+    """
+    same = ["captured_at", "perceptual_hash", "color_histogram"]
+    linked = F.col("perceptual_hash").isNotNull() | F.coalesce(expr.norm(F.col("color_histogram")) > 0, F.lit(False))
+    rows = photos.where("captured_at is not null").select(*by, "photo_id", *same)
+    heads = rows.where(linked).groupBy(*by, *same).agg(F.min("photo_id").alias("photo_id"), F.count("*").alias("__n"))
+    keys = [*by, *same]
+    several = heads.where("__n > 1").select(*[F.col(c).alias(f"__{c}") for c in keys], F.col("photo_id").alias("head"))
+    standing = heads.drop("__n").unionByName(rows.where(~linked))
+    hanging = rows.join(several, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]).where("photo_id != head").select(*by, F.col("head").alias("x"), F.col("photo_id").alias("y"))
+    return burst_edges(standing, limits, by).unionByName(hanging)
+
+
 def burst_groups(photos: DataFrame, limits: BurstLimits = BurstLimits(), by: list[str] = DAY) -> DataFrame:
     """``photos`` with burst_id, from one for each day in the order of (captured_at, relative_path) of its first member.
 
     A photo without links is a burst of its own; photos without a time come last.
     """
-    linked = connected_components(burst_edges(photos, limits, by), by).select(F.col("node").alias("photo_id"), "label")
+    linked = connected_components(linking_edges(photos, limits, by), by).select(F.col("node").alias("photo_id"), "label")
     marked = photos.join(linked, "photo_id", "left").withColumn("__group", F.coalesce("label", "photo_id")).drop("label")
     first = F.struct(F.col("captured_at").isNull(), F.col("captured_at"), F.col("relative_path"), F.col("photo_id"))
     heads = marked.groupBy(*by, "__group").agg(F.min(first).alias("__first"))

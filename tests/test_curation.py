@@ -66,6 +66,14 @@ def test_bursts_are_transitive_and_need_likeness(spark):
     assert bursts.burst_groups(df.limit(0)).count() == 0
 
 
+def test_copies_hang_on_one_photo(spark):
+    rows = [photo(i, 0, 1.0, 10) for i in range(1, 400)] + [photo(i, 0, 1.0, None, [0.0, 0.0]) for i in range(500, 510)] + [photo(600, 60, 1.0, 11), photo(601, 60, 1.0, None, [1.0]), photo(602, 60, 1.0, None, [1.0])]
+    df = spark.createDataFrame(rows, PHOTO)
+    assert bursts.linking_edges(df).count() == 398 + 1 + 1
+    sizes = sorted(r["count"] for r in bursts.burst_groups(df).groupBy("burst_id").count().collect())
+    assert sizes == [1] * 10 + [2, 400]
+
+
 def test_both_component_paths_agree(spark):
     rng = np.random.default_rng(5)
     edges = [(int(g), int(a) + 1000 * int(g), int(b) + 1000 * int(g)) for g, a, b in zip(rng.integers(0, 4, 300), rng.integers(0, 200, 300), rng.integers(0, 200, 300))]
