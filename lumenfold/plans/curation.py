@@ -13,7 +13,8 @@ from lumenfold.settings import QualityLimits
 from lumenfold.streaming import intake
 
 DAY = bursts.DAY
-_SETS = ["trip_id", "day_name"]
+_LINKED = [*DAY, "relative_path", "captured_at", "perceptual_hash", "color_histogram"]
+_BEST_BY = [*DAY, "relative_path", "captured_at", "blur_score"]
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -33,12 +34,15 @@ def query(sql: str | None = None):
 # --- inputs --------------------------------------------------------------------------
 
 
-def _accepted(spark: SparkSession, sf: str) -> DataFrame:
-    return bursts.distinct_photos(table(spark, sf, "accepted"))
+def _accepted(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Accepted photos once each, with the named columns; only those are read and shuffled."""
+    rows = table(spark, sf, "accepted")
+    return bursts.distinct_photos(rows.select("photo_id", *columns) if columns else rows)
 
 
-def _media(spark: SparkSession, sf: str) -> DataFrame:
-    rows = bursts.distinct_photos(table(spark, sf, "media"), "media_id")
+def _media(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Files once each, with their class and the named columns."""
+    rows = bursts.distinct_photos(table(spark, sf, "media").select("media_id", "source_path", *columns), "media_id")
     ext = expr.extension(F.col("source_path"))
     return rows.withColumns({"extension": ext, "classification": expr.classify(ext)})
 
@@ -56,7 +60,7 @@ def _grids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _bursts(spark: SparkSession, sf: str) -> DataFrame:
-    return cut(bursts.burst_groups(_accepted(spark, sf)))
+    return cut(bursts.burst_groups(_accepted(spark, sf, *_LINKED, "orientation", "blur_score", "brightness_mean", "overexposed_ratio")))
 
 
 def _clustered(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,7 +126,7 @@ n AS (SELECT trip_id, captured_on, row_number() OVER (PARTITION BY trip_id ORDER
 
 def _dated(spark, sf):
     photos = table(spark, sf, "photo").groupBy("photo_id").agg(F.min("trip_id").alias("trip_id"), F.min("captured_on").alias("captured_on"))
-    other = _media(spark, sf).where("classification <> 'photo'").withColumn("captured_on", F.to_date("modified_at"))
+    other = _media(spark, sf, "trip_id", "modified_at").where("classification <> 'photo'").withColumn("captured_on", F.to_date("modified_at"))
     return photos, other, days.day_map(photos.where("captured_on is not null"), other, by=["trip_id"])
 
 
@@ -156,11 +160,11 @@ WITH {_PHOTOS} SELECT photo_id, array_to_string(list_filter([CASE WHEN blur_scor
 """)
 def quality_gate(spark, sf):
     """Reasons against each photo, in their order, and the decision."""
-    return quality.assess(_accepted(spark, sf)).select("photo_id", F.array_join("rejection_reasons", ",").alias("reasons"), "is_accepted")
+    return quality.assess(_accepted(spark, sf, "blur_score", "brightness_mean", "overexposed_ratio")).select("photo_id", F.array_join("rejection_reasons", ",").alias("reasons"), "is_accepted")
 
 
 def _plan(spark, sf):
-    photos = quality.assess(_accepted(spark, sf))
+    photos = quality.assess(_accepted(spark, sf, "trip_id", "day_name", "source_path", "blur_score", "brightness_mean", "overexposed_ratio"))
     dated = _dated(spark, sf)
     other = days.assign_days(dated[1], dated[2], by=["trip_id"])
     keep = lambda plan, src: plan.join(src.select("source_path", "trip_id"), "source_path")
@@ -192,14 +196,14 @@ SELECT photo_id, CASE WHEN i = 0 THEN target ELSE replace(target, '.jpg', printf
 """)
 def move_collisions(spark, sf):
     """Names of files that want one target: the first gets it, others a counter."""
-    plan = _accepted(spark, sf).select("photo_id", "trip_id", "source_path", F.concat("day_name", F.lit("/"), F.upper(F.regexp_extract("relative_path", "^[^/]*/(.)", 1)), F.lit(".jpg")).alias("target"))
+    plan = _accepted(spark, sf, "trip_id", "day_name", "source_path", "relative_path").select("photo_id", "trip_id", "source_path", F.concat("day_name", F.lit("/"), F.upper(F.regexp_extract("relative_path", "^[^/]*/(.)", 1)), F.lit(".jpg")).alias("target"))
     return moves.resolve_collisions(plan, by=["trip_id"]).select("photo_id", "final_target")
 
 
 @query(f"WITH {_PHOTOS} SELECT CASE WHEN width > height THEN 'landscape' WHEN height > width THEN 'portrait' WHEN width = height THEN 'square' END AS shape, count(*) AS n FROM a GROUP BY 1")
 def orientation_counts(spark, sf):
     """Photos of each orientation, from their sides."""
-    return _accepted(spark, sf).groupBy(expr.orientation(F.col("width"), F.col("height")).alias("shape")).agg(F.count("*").alias("n"))
+    return _accepted(spark, sf, "width", "height").groupBy(expr.orientation(F.col("width"), F.col("height")).alias("shape")).agg(F.count("*").alias("n"))
 
 
 # --- pixel features on grids ---------------------------------------------------------
@@ -241,7 +245,7 @@ def histogram_grid(spark, sf):
 @query(f"WITH {_PHOTOS} SELECT l.photo_id AS x, r.photo_id AS y, bit_count(xor(l.perceptual_hash, r.perceptual_hash))::INT AS bits FROM a l JOIN a r ON l.trip_id = r.trip_id AND l.day_name = r.day_name AND l.photo_id < r.photo_id WHERE bit_count(xor(l.perceptual_hash, r.perceptual_hash)) <= 6")
 def hamming_pairs(spark, sf):
     """Photos of one day whose hashes differ in at most six bits."""
-    rows = _accepted(spark, sf).select(*DAY, "photo_id", "perceptual_hash")
+    rows = _accepted(spark, sf, *DAY, "perceptual_hash").select(*DAY, "photo_id", "perceptual_hash")
     left, right = rows.withColumnsRenamed({"photo_id": "x", "perceptual_hash": "h"}), rows.withColumnsRenamed({"photo_id": "y", "perceptual_hash": "k"})
     return left.join(right, DAY).where("x < y").withColumn("bits", expr.hamming(F.col("h"), F.col("k"))).where("bits <= 6").select("x", "y", "bits")
 
@@ -260,25 +264,25 @@ def cosine_pairs(spark, sf):
 @query(f"WITH {_BURSTS} SELECT x, y FROM e")
 def burst_edges(spark, sf):
     """Links between photos of one day that are close in time and look alike."""
-    return bursts.burst_edges(_accepted(spark, sf)).select("x", "y")
+    return bursts.burst_edges(_accepted(spark, sf, *_LINKED)).select("x", "y")
 
 
 @query(f"{_GROUPS} SELECT photo_id, trip_id, day_name, burst_id::INT AS burst_id FROM q")
 def burst_groups(spark, sf):
     """The burst of each photo."""
-    return bursts.burst_groups(_accepted(spark, sf)).select("photo_id", *DAY, "burst_id")
+    return bursts.burst_groups(_accepted(spark, sf, *_LINKED)).select("photo_id", *DAY, "burst_id")
 
 
 @query(f"{_GROUPS}, r AS (SELECT *, row_number() OVER (PARTITION BY trip_id, day_name, burst_id ORDER BY {_BEST}) AS i, count(*) OVER (PARTITION BY trip_id, day_name, burst_id) AS member_count FROM q) SELECT trip_id, day_name, burst_id::INT AS burst_id, photo_id AS representative_id, member_count FROM r WHERE i = 1")
 def burst_representatives(spark, sf):
     """The photo that stands for each burst."""
-    return bursts.burst_representatives(bursts.burst_groups(_accepted(spark, sf))).drop("representative_path")
+    return bursts.burst_representatives(bursts.burst_groups(_accepted(spark, sf, *_LINKED, "blur_score"))).drop("representative_path")
 
 
 @query(f"{_GROUPS} SELECT photo_id, printf('c%03d_b%03d_%03d', 1, burst_id, row_number() OVER (PARTITION BY trip_id, day_name, burst_id ORDER BY captured_at IS NULL, captured_at, relative_path)) || regexp_extract(relative_path, '(\\.[^.]+)$', 1) AS new_name FROM q")
 def survivor_names(spark, sf):
     """The new name of each photo, numbered in its burst."""
-    return duplicates.survivor_names(bursts.burst_groups(_accepted(spark, sf)).withColumn("cluster_id", F.lit(1))).select("photo_id", "new_name")
+    return duplicates.survivor_names(bursts.burst_groups(_accepted(spark, sf, *_LINKED)).withColumn("cluster_id", F.lit(1))).select("photo_id", "new_name")
 
 
 # --- linkage -------------------------------------------------------------------------
@@ -313,7 +317,7 @@ SELECT photo_id, round(CASE WHEN color_histogram IS NULL OR c IS NULL OR len(col
 """)
 def cluster_member_metrics(spark, sf):
     """Each photo's distances to the representative of its burst."""
-    grouped = cut(bursts.burst_groups(_accepted(spark, sf))).withColumn("vector", F.lit(None).cast("array<float>"))
+    grouped = cut(bursts.burst_groups(_accepted(spark, sf, *_LINKED, "blur_score"))).withColumn("vector", F.lit(None).cast("array<float>"))
     got = linkage.member_metrics(grouped, bursts.burst_representatives(grouped), [*DAY, "burst_id"])
     return got.select("photo_id", F.round("histogram_similarity_to_representative", 6).alias("histogram_similarity"), F.col("perceptual_hash_distance_to_representative").alias("hash_distance"))
 
@@ -330,7 +334,7 @@ def duplicate_pairs_grid(spark, sf):
 
 def _hash_sets(spark, sf):
     """Photos of one day with one hash, as duplicate sets."""
-    rows = _accepted(spark, sf).where("perceptual_hash is not null")
+    rows = _accepted(spark, sf, *_BEST_BY, "perceptual_hash").where("perceptual_hash is not null")
     first = rows.groupBy(*DAY, "perceptual_hash").agg(F.min("photo_id").alias("set_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     return rows.join(first, [*DAY, "perceptual_hash"])
 
@@ -342,7 +346,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY {_BEST}) AS plac
 @query(f"WITH {_SETS_SQL} SELECT photo_id, set_id FROM r")
 def duplicate_sets(spark, sf):
     """Photos of one day with one hash."""
-    rows = _accepted(spark, sf).where("perceptual_hash is not null")
+    rows = _accepted(spark, sf, *DAY, "perceptual_hash").where("perceptual_hash is not null")
     star = rows.groupBy(*DAY, "perceptual_hash").agg(F.min("photo_id").alias("x"))
     edges = rows.join(star, [*DAY, "perceptual_hash"]).where("x < photo_id").select(*DAY, "x", F.col("photo_id").alias("y"))
     return duplicates.duplicate_sets(rows, edges, DAY).select("photo_id", "set_id")
@@ -363,13 +367,13 @@ def duplicate_losers(spark, sf):
 @query(f"WITH {_SETS_SQL} SELECT a.trip_id, a.day_name, count(*) AS photos FROM a WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.photo_id = a.photo_id AND place > 1) GROUP BY ALL")
 def survivors(spark, sf):
     """Photos of each day that stay."""
-    return duplicates.survivors(_accepted(spark, sf), duplicates.losers(_hash_sets(spark, sf), [])).groupBy(*DAY).agg(F.count("*").alias("photos"))
+    return duplicates.survivors(_accepted(spark, sf, *DAY), duplicates.losers(_hash_sets(spark, sf), [])).groupBy(*DAY).agg(F.count("*").alias("photos"))
 
 
 @query(f"WITH {_PHOTOS}, o AS (SELECT trip_id, day_name || '/' || orientation || regexp_extract(relative_path, '(\\.[^.]+)$', 1) AS target FROM a) SELECT trip_id, target, count(*) AS n FROM o GROUP BY ALL HAVING count(*) > 1")
 def rename_conflicts(spark, sf):
     """Targets that several renames share."""
-    renames = _accepted(spark, sf).select("trip_id", F.col("relative_path").alias("source_path"), F.concat("day_name", F.lit("/"), "orientation", expr.suffix(F.col("relative_path"))).alias("target"))
+    renames = _accepted(spark, sf, "trip_id", "day_name", "relative_path", "orientation").select("trip_id", F.col("relative_path").alias("source_path"), F.concat("day_name", F.lit("/"), "orientation", expr.suffix(F.col("relative_path"))).alias("target"))
     return moves.rename_conflicts(renames, by=["trip_id"]).drop("taken")
 
 
@@ -379,7 +383,7 @@ SELECT trip_id, day_name, burst_id::INT AS burst_id, photo_id AS representative
 """)
 def representative_fallback(spark, sf):
     """Who stands for a burst when its representative is lost."""
-    grouped = cut(bursts.burst_groups(_accepted(spark, sf)))
+    grouped = cut(bursts.burst_groups(_accepted(spark, sf, *_LINKED, "blur_score")))
     reps = bursts.burst_representatives(grouped)
     by = [*DAY, "burst_id"]
     alive = grouped.join(reps.select(F.col("representative_id").alias("photo_id")), "photo_id", "left_anti")
@@ -474,7 +478,7 @@ SELECT counter, value FROM w
 """)
 def run_summary(spark, sf):
     """The counters of the first stages as rows."""
-    assessed = quality.assess(_accepted(spark, sf))
+    assessed = quality.assess(_accepted(spark, sf, *DAY, "blur_score", "brightness_mean", "overexposed_ratio"))
     parts = [report.file_counts(_media(spark, sf)), report.quality_counts(assessed), assessed.agg(F.count_distinct(*DAY).alias("day_count"))]
     shown = ["total_items", "photo_items", "non_photo_items", "unsupported_items", "accepted_photos", "rejected_photos", "day_count"]
     return report.as_rows(report.summary(parts)).where(F.col("counter").isin(shown)).select("counter", "value")
@@ -488,7 +492,7 @@ SELECT r.trip_id, r.day_name, r.photo_id, place::INT AS place FROM r JOIN n USIN
 """)
 def quota_selection(spark, sf):
     """The album of each trip: ten photos a day, sixty in total, with roll-over."""
-    return quota.select_album(_accepted(spark, sf), 10, 60, ["trip_id"], "day_name", [bursts.best_first()]).select(*DAY, "photo_id", "place")
+    return quota.select_album(_accepted(spark, sf, *_BEST_BY), 10, 60, ["trip_id"], "day_name", [bursts.best_first()]).select(*DAY, "photo_id", "place")
 
 
 @query(f"{_GROUPS} SELECT count(DISTINCT {{'t': trip_id, 'd': day_name, 'b': burst_id}}) AS classified_clusters FROM q")
@@ -501,7 +505,7 @@ def classified_clusters(spark, sf):
 def scan_order(spark, sf):
     """The place of each file in the listing of its trip."""
     order = Window.partitionBy("trip_id").orderBy(F.lower(expr.file_name(F.col("source_path"))), "source_path")
-    return _media(spark, sf).select("media_id", F.row_number().over(order).alias("place"))
+    return _media(spark, sf, "trip_id").select("media_id", F.row_number().over(order).alias("place"))
 
 
 @query("""
@@ -518,5 +522,5 @@ def intake_windows(spark, sf):
 def record_enrichment(spark, sf):
     """Accepted photos of each trip with and without the time of a file."""
     files = table(spark, sf, "media").groupBy("media_id").agg(F.min("modified_at").alias("w"))
-    joined = _accepted(spark, sf).join(files, F.col("photo_id") == F.col("media_id"), "left")
+    joined = _accepted(spark, sf, "trip_id").join(files, F.col("photo_id") == F.col("media_id"), "left")
     return joined.groupBy("trip_id").agg(F.count("*").alias("photos"), F.count("w").alias("with_file"), F.count_if(F.col("w").isNull()).alias("without_file"))
