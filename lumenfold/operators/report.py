@@ -30,11 +30,13 @@ def manifest_counts(manifests: DataFrame) -> DataFrame:
 
 
 def summary(parts: list[DataFrame]) -> DataFrame:
-    """One row with all counters from one-row parts; a counter no part has is 0."""
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.crossJoin(part)  # one row beside one
-    return whole.select(*[F.col(c).cast("long") if c in whole.columns else F.lit(0).cast("long").alias(c) for c in COUNTERS])
+    """One row with all counters from one-row parts; a counter no part has is 0, of one in several the greatest counts."""
+    long = None
+    for part in parts:
+        known = [c for c in part.columns if c in COUNTERS]
+        own = part.select(*[F.col(c).cast("long").alias(c) for c in known]).unpivot([], known, "counter", "value")
+        long = own if long is None else long.unionByName(own)
+    return long.agg(*[F.coalesce(F.max(F.when(F.col("counter") == c, F.col("value"))), F.lit(0)).alias(c) for c in COUNTERS])
 
 
 def as_rows(report: DataFrame) -> DataFrame:

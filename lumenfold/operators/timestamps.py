@@ -21,19 +21,19 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 
 _BLANK = r"[\s\x00\x85\xA0\u1680\u2000-\u200B\u2028\u2029\u202F\u205F\u3000\uFEFF]*"
 _TIME = r"(?<{p}h>\d{{1,2}}):(?<{p}mi>\d{{2}})(?::(?<{p}s>\d{{2}})(?:[.,](?<{p}f>\d+))?)?"
-_ZONE = r"(?:\s*(?<{p}off>[zZ]|(?:UTC|GMT)?[+-]\d{{1,2}}(?::?\d{{2}})?)(?:\[[^\]]*\])?|\s*(?<{p}abbr>[A-Za-z]{{3,5}})|\s*\[(?<{p}iana>[^\]]+)\])?"
+_ZONE = r"(?:\s*(?<{p}off>[zZ]|(?i:UTC|GMT)?[+-]\d{{1,2}}(?::?\d{{2}})?)(?:\[[^\]]*\])?|\s*(?<{p}abbr>[A-Za-z]{{3,5}})|\s*\[(?<{p}iana>[^\]]+)\])?"
 _MONTH = r"(?<{p}mon>[A-Za-z]{{3}})[A-Za-z]*\.?"
 
 #: One branch for each family of spellings; named groups carry the branch's prefix.
 BRANCHES = {
     # 2024:01:31 12:00:00, 2024-01-31T12:00:00.5+01:00[Europe/Berlin], 2024/1/31 9:05
-    "y": r"(?<yy>\d{4})[:/-](?<ym>\d{1,2})[:/-](?<yd>\d{1,2})[T\s]\s*" + _TIME.format(p="y") + r"(?:\s*(?<yap>[aApP])\.?[mM]\.?)?" + _ZONE.format(p="y"),
+    "y": r"(?<yy>\d{4})[:/-](?<ym>\d{1,2})[:/-](?<yd>\d{1,2})[Tt\s]\s*" + _TIME.format(p="y") + r"(?:\s*(?<yap>[aApP])\.?[mM]\.?)?" + _ZONE.format(p="y"),
     # 20240131_120000, 20240131T120000Z
-    "c": r"(?<cy>\d{4})(?<cm>\d{2})(?<cd>\d{2})[_T\s-](?<ch>\d{2})(?<cmi>\d{2})(?<cs>\d{2})?(?:[.,](?<cf>\d+))?" + _ZONE.format(p="c"),
+    "c": r"(?<cy>\d{4})(?<cm>\d{2})(?<cd>\d{2})[_Tt\s-](?<ch>\d{2})(?<cmi>\d{2})(?<cs>\d{2})?(?:[.,](?<cf>\d+))?" + _ZONE.format(p="c"),
     # 31/01/2024 or 01/31/2024, by the device's order
-    "l": r"(?<la>\d{1,2})/(?<lb>\d{1,2})/(?<ly>\d{4}),?[T\s]\s*" + _TIME.format(p="l") + r"(?:\s*(?<lap>[aApP])\.?[mM]\.?)?" + _ZONE.format(p="l"),
+    "l": r"(?<la>\d{1,2})/(?<lb>\d{1,2})/(?<ly>\d{4}),?[Tt\s]\s*" + _TIME.format(p="l") + r"(?:\s*(?<lap>[aApP])\.?[mM]\.?)?" + _ZONE.format(p="l"),
     # 31.01.2024, day first
-    "d": r"(?<dd>\d{1,2})\.(?<dm>\d{1,2})\.(?<dy>\d{4}),?[T\s]\s*" + _TIME.format(p="d") + r"(?:\s*(?<dap>[aApP])\.?[mM]\.?)?" + _ZONE.format(p="d"),
+    "d": r"(?<dd>\d{1,2})\.(?<dm>\d{1,2})\.(?<dy>\d{4}),?[Tt\s]\s*" + _TIME.format(p="d") + r"(?:\s*(?<dap>[aApP])\.?[mM]\.?)?" + _ZONE.format(p="d"),
     # Jan 31, 2024 9:05:00 pm
     "n": _MONTH.format(p="n") + r"\s+(?<nd>\d{1,2}),?\s+(?<ny>\d{4}),?\s+" + _TIME.format(p="n") + r"(?:\s*(?<nap>[aApP])\.?[mM]\.?)?" + _ZONE.format(p="n"),
     # Wed, 31 Jan 2024 09:05:00 +0100, 31 Jan 2024 09:05:00 CET
