@@ -72,9 +72,9 @@ def p9_found(spark, sf_dir):
 
 def p9_composition(spark, sf_dir):
     """How many documents are about each subject, and their share."""
-    found = p9_found(spark, sf_dir)
-    total = table(spark, sf_dir, "documents").select(F.count("*").alias("all"))
-    return found.groupBy("subject").agg(F.count("*").alias("n_docs")).crossJoin(F.broadcast(total)).select("subject", "n_docs", F.round(F.col("n_docs") / F.col("all"), 6).alias("share"))  # one row
+    total = max(1, table(spark, sf_dir, "documents").count())
+    counted = p9_found(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("n_docs"))
+    return counted.withColumn("share", F.round(F.col("n_docs") / total, 6))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_clusters, p5_found, p6_found, p6_votes, p7_ids, p7_decoded, p8_mixture, p8_shares, p9_found, p9_composition)}
