@@ -12,7 +12,6 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.functions import expr
 from lumenfold.operators import bursts, days, duplicates, embedding, labels, linkage, manifests, moves, quality, report
 from lumenfold.session import cut
 from lumenfold.settings import Settings
