@@ -10,6 +10,18 @@ from pyspark.sql.window import Window
 
 from lumenfold.functions import expr
 from lumenfold.operators.bursts import DAY
+from lumenfold.operators.components import connected_components, union_find
+from lumenfold.session import cut
+
+#: Representatives up to which a day is linked as a whole, and a component with a matrix; rows in a block of a larger day.
+MATRIX_ROWS, BLOCK_ROWS = 4_000, 8_192
+
+
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    """The rows with length one; rows of length zero stay."""
+    x = np.asarray(vectors, dtype=np.float64)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
 def average_linkage(names: list[str], vectors: np.ndarray, most: float, limit: int = 12_000) -> list[list[int]]:
@@ -23,9 +35,7 @@ def average_linkage(names: list[str], vectors: np.ndarray, most: float, limit: i
     n = len(names)
     if n > limit:
         raise ValueError(f"{n} representatives in one group; the linkage matrix is bounded to {limit}")
-    x = np.asarray(vectors, dtype=np.float64)
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    x = unit_rows(vectors)
     sums = 1.0 - x @ x.T
     size = np.ones(n)
     members = [[i] for i in range(n)]
@@ -56,21 +66,136 @@ def average_linkage(names: list[str], vectors: np.ndarray, most: float, limit: i
     return [members[k] for k in range(n) if alive[k]]
 
 
-def cluster_representatives(representatives: DataFrame, most: float, by: list[str] = DAY, name: str = "representative_path") -> DataFrame:
-    """(by..., burst_id, cluster_id) of rows (by..., burst_id, ``name``, vector); cluster ids run from one in final order."""
+def linkage_by_sums(names: list[str], vectors: np.ndarray, most: float) -> list[list[int]]:
+    """What ``average_linkage`` gives, for groups of any size: memory grows with the rows, not with their pairs.
+
+    The mean distance of two clusters is one minus the dot product of the sums of their unit
+    vectors over the product of their sizes, so a row of means comes from the sums at once.
+    A merge never brings clusters closer to a third, so a row whose nearest was merged keeps
+    its value as a lower bound until it is the least. Means are compared to 12 decimals.
+    """
+    sums = unit_rows(vectors)
+    n = len(sums)
+    size = np.ones(n)
+    at = np.arange(n)  # positions of the clusters left, in order
+    members: list[list[int]] = [[i] for i in range(n)]
+    best, value, stale = np.full(n, n), np.full(n, np.inf), np.zeros(n, dtype=bool)
+
+    def means(i: int, j: int, of: slice) -> np.ndarray:
+        return np.round(1.0 - sums[i:j] @ sums[of].T / (size[i:j, None] * size[of]), 12)
+
+    for i in range(0, n, 256):
+        j = min(i + 256, n)
+        m = means(i, j, slice(i, None))
+        m[np.tril_indices(j - i, 0, n - i)] = np.inf
+        best[i:j] = m.argmin(axis=1) + i
+        value[i:j] = m[np.arange(j - i), best[i:j] - i]
+    gone = np.zeros(n, dtype=bool)
+
+    def renew(i: int) -> None:
+        m = np.where(gone[i + 1 :], np.inf, means(i, i + 1, slice(i + 1, None))[0])
+        best[i] = m.argmin() + i + 1 if len(m) else len(at)
+        value[i] = m[best[i] - i - 1] if len(m) else np.inf
+        stale[i] = False
+
+    while len(at) > 1:
+        i = int(value.argmin())
+        if not value[i] <= most + 1e-12:
+            break
+        if stale[i]:
+            renew(i)
+            continue
+        j = int(best[i])
+        members[i] = sorted(members[i] + members[j], key=lambda k: names[k])
+        sums[i] += sums[j]
+        size[i] += size[j]
+        gone[j], value[j], stale[j] = True, np.inf, False
+        stale |= ~gone & ((best == i) | (best == j))
+        renew(i)
+        if 2 * gone.sum() > len(at):  # the rest moves together, so later rows are shorter
+            left = np.flatnonzero(~gone)
+            to = np.full(len(at) + 1, len(left))
+            to[left] = np.arange(len(left))
+            sums, size, at, value, stale, best = sums[left], size[left], at[left], value[left], stale[left], to[best[left]]
+            members, gone = [members[k] for k in left], np.zeros(len(left), dtype=bool)
+    return [m for m, g in zip(members, gone, strict=True) if not g]
+
+
+def near_components(reps: DataFrame, sizes: DataFrame, most: float, by: list[str], block: int) -> DataFrame:
+    """(by..., node, label) of the rows (by..., node, vector) with another at most ``most`` away, also through others.
+
+    All pairs are compared block by block; a pair of blocks gives a forest of its links, not
+    the links themselves.
+    """
+    blocks = F.ceil(F.col("__m") / block).cast("int")
+    rows = reps.join(sizes.withColumn("__blocks", blocks), by).withColumn("__own", F.pmod(F.xxhash64("node"), F.col("__blocks")).cast("int"))
+    met = rows.select(*by, "node", "vector", "__own", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__other"))
+    met = met.withColumns({"__a": F.least("__own", "__other"), "__b": F.greatest("__own", "__other")})
+    kinds = dict(reps.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", x long, y long"
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        node = group.column("node").to_numpy()
+        x = unit_rows(np.array(group.column("vector").to_pylist(), dtype=np.float64).reshape(len(group), -1))
+        label = np.arange(len(x))
+        for i in range(0, len(x), 512):
+            p, q = np.nonzero(1.0 - x[i : i + 512] @ x[i:].T <= most + 1e-9)
+            p, q = label[p + i], label[q + i]
+            if (apart := p != q).any():
+                old, new = union_find(p[apart], q[apart])
+                to = np.arange(len(x))
+                to[old] = new
+                label = to[label]
+        link = np.flatnonzero(label != np.arange(len(x)))
+        keys = {c: pa.array([k.as_py()] * len(link), group.schema.field(c).type) for c, k in zip(by, key, strict=False)}
+        return pa.table(keys | {"x": pa.array(node[link], pa.int64()), "y": pa.array(node[label[link]], pa.int64())})
+
+    links = met.groupBy(*by, "__a", "__b").applyInArrow(run, schema)
+    return connected_components(links, by)
+
+
+def cluster_representatives(representatives: DataFrame, most: float, by: list[str] = DAY, name: str = "representative_path", matrix_rows: int = MATRIX_ROWS, block: int = BLOCK_ROWS) -> DataFrame:
+    """(by..., burst_id, cluster_id) of rows (by..., burst_id, ``name``, vector); cluster ids run from one in final order.
+
+    Groups of at most ``matrix_rows`` are solved in one task each. Larger ones fall into the
+    components of their pairs at most ``most`` apart: a merge needs such a pair, so no
+    cluster reaches over two of them. Each component is linked by itself, by its sums where
+    it has more than ``matrix_rows``, and clusters are numbered by their first members.
+    """
     kinds = dict(representatives.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", burst_id int, cluster_id int"
 
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by(name)
+    def linked(group: pa.Table) -> list[list[int]]:
         vectors = np.array(group.column("vector").to_pylist(), dtype=np.float64).reshape(len(group), -1)
-        found = average_linkage(group.column(name).to_pylist(), vectors, most)
+        return (average_linkage if len(group) <= matrix_rows else linkage_by_sums)(group.column(name).to_pylist(), vectors, most)
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by([(name, "ascending"), ("burst_id", "ascending")])
+        found = linked(group)
         at = [k for c in found for k in c]
         ids = [i + 1 for i, c in enumerate(found) for _ in c]
-        keys = {c: pa.array([k.as_py()] * len(at), group.schema.field(c).type) for c, k in zip(by, key, strict=True)}
+        keys = {c: pa.array([k.as_py()] * len(at), group.schema.field(c).type) for c, k in zip(by, key, strict=False)}
         return pa.table(keys | {"burst_id": group.column("burst_id").take(pa.array(at, pa.int64())).cast(pa.int32()), "cluster_id": pa.array(ids, pa.int32())})
 
-    return representatives.select(*by, "burst_id", name, "vector").groupBy(*by).applyInArrow(run, schema)
+    reps = representatives.select(*by, "burst_id", name, "vector")
+    sizes = cut(reps.groupBy(*by).agg(F.count("*").alias("__m")).where(F.col("__m") > matrix_rows))
+    if sizes.isEmpty():
+        return reps.groupBy(*by).applyInArrow(run, schema)
+    small = reps.join(sizes, by, "left_anti").groupBy(*by).applyInArrow(run, schema)
+    large = cut(reps.join(F.broadcast(sizes.drop("__m")), by).withColumn("node", F.monotonically_increasing_id()))
+    parts = near_components(large.select(*by, "node", "vector"), F.broadcast(sizes), most, by, block).select("node", "label")
+    whole = cut(large.join(parts, "node", "left"))
+    alone = whole.where("label is null").select(*by, "burst_id", F.col("node").alias("label"), F.lit(1).alias("cluster_id"))
+    in_part = schema.replace(", burst_id int", ", label long, burst_id int")
+
+    def run_part(key: tuple, group: pa.Table) -> pa.Table:
+        got = run(key, group)
+        return got.add_column(len(by), "label", pa.array([key[-1].as_py()] * len(got), pa.int64()))
+
+    together = whole.where("label is not null").groupBy(*by, "label").applyInArrow(run_part, in_part)
+    found = cut(alone.unionByName(together).withColumn("__part", F.struct("label", "cluster_id")).drop("label", "cluster_id"))
+    named = found.join(large.select(*by, "burst_id", name), [*by, "burst_id"])
+    return small.unionByName(numbered_groups(named, by, "__part", [F.col(name), F.col("burst_id")], "cluster_id").select(*by, "burst_id", "cluster_id"))
 
 
 def day_clusters(grouped: DataFrame, representatives: DataFrame, vectors: DataFrame, most: float, by: list[str] = DAY) -> DataFrame:

@@ -132,6 +132,41 @@ def test_linkage_ties_go_to_the_first_pair():
         linkage.average_linkage(list("abc"), np.ones((3, 2)), 0.1, limit=2)
 
 
+@given(st.integers(0, 10_000), st.integers(1, 40), st.floats(0.02, 1.0))
+@hsettings(max_examples=80, deadline=None)
+def test_linkage_by_sums_equals_linkage_by_matrix(seed, n, most):
+    x = np.random.default_rng(seed).normal(size=(n, 4))
+    names = [f"p{i:02d}" for i in range(n)]
+    assert linkage.linkage_by_sums(names, x, most) == linkage.average_linkage(names, x, most)
+
+
+def test_linkage_by_sums_ties_and_zeros():
+    x = np.array([[1.0, 0], [0, 0], [1.0, 0], [0, 1.0], [0, 1.0], [1.0, 0]])
+    assert linkage.linkage_by_sums(list("abcdef"), x, 0.18) == linkage.average_linkage(list("abcdef"), x, 0.18) == [[0, 2, 5], [1], [3, 4]]
+
+
+def clusters_of(spark, rows, **kw):
+    df = spark.createDataFrame(rows, "trip_id string, day_name string, burst_id int, representative_path string, vector array<float>")
+    return {(r["day_name"], r["burst_id"]): r["cluster_id"] for r in linkage.cluster_representatives(df, 0.18, **kw).collect()}
+
+
+def test_split_days_have_the_clusters_of_whole_days(spark):
+    rng = np.random.default_rng(2)
+    rows = [("t", day, i, f"{rng.integers(10**9):09d}.jpg", rng.normal(size=4).tolist()) for day, n in (("day01", 150), ("day02", 90), ("day03", 5)) for i in range(1, n + 1)]
+    whole = clusters_of(spark, rows)
+    assert len(whole) == 245 and whole == clusters_of(spark, rows, matrix_rows=40, block=32) == clusters_of(spark, rows, matrix_rows=2, block=64)
+
+
+def test_a_day_larger_than_any_matrix(spark):
+    rng = np.random.default_rng(4)
+    n = 12_300  # more than the matrix of average_linkage takes
+    centre = rng.integers(0, 4_000, n)
+    x = (rng.normal(size=(4_000, 48))[centre] + rng.normal(scale=0.05, size=(n, 48))).astype(np.float32)
+    got = clusters_of(spark, [("t", "day01", i, f"{i:05d}.jpg", v) for i, v in enumerate(x.tolist())])
+    order = {c: k + 1 for k, c in enumerate(dict.fromkeys(centre.tolist()))}
+    assert got == {("day01", i): order[c] for i, c in enumerate(centre.tolist())}
+
+
 def test_medoid_ties_go_to_the_first_name(spark):
     df = spark.createDataFrame([(1, "b", [1.0, 0.0]), (1, "a", [1.0, 0.0]), (2, "x", [0.0, 0.0]), (3, "p", [1.0, 0.0]), (3, "q", [0.98, 0.02]), (3, "r", [0.9, 0.1])], "g int, relative_path string, vector array<double>")
     assert {(r["g"], r["medoid"], r["member_count"]) for r in linkage.medoids(df, ["g"]).collect()} == {(1, "a", 2), (2, "x", 1), (3, "q", 3)}
