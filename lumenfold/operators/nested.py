@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenfold.session import cut
+
 #: Fields by which an object is known to be a cluster, burst group or member itself.
 CLUSTER_FIELDS = ("cluster_id", "members", "member_filenames", "representative_filename", "burst_group_ids", "member_count")
 BURST_FIELDS = ("burst_group_id", "member_filenames", "representative_filename", "member_count")
@@ -191,10 +193,12 @@ def subtype_tables(flat: DataFrame, variants: list[str], shared: list[str]) -> d
 def manifest_cases(deliveries: DataFrame) -> DataFrame:
     """(manifest_id, cluster_id, burst_group_id, filename): each distinct filename of each cluster once.
 
-    The same members as in ``member_table``, from one pass: clusters and burst groups of a
-    document are exploded together, so it is parsed once, and one shuffle by file brings
-    members and listings to each other. If one cluster lists a filename several times, its
-    first entry counts, or without a listing its first entry with a burst.
+    The same members as in ``member_table``: clusters and burst groups of a document are
+    exploded together, so it is parsed once, every entry gets its state once and goes to the
+    typed subtype table of that state, and the union of those over the shared keys is
+    shuffled once by file, which brings members and listings to each other. If one cluster
+    lists a filename several times, its first entry counts, or without a listing its first
+    entry with a burst.
     """
     docs = latest_documents(deliveries)
     tagged = lambda name, own, kind: F.coalesce(F.transform(entries(field(F.col("doc"), name), own), lambda e: F.struct(F.lit(kind).alias("kind"), e["pos"].alias("pos"), e["name"].alias("name"), e["node"].alias("node"))), F.array().cast("array<struct<kind:string,pos:int,name:string,node:variant>>"))
@@ -209,7 +213,10 @@ def manifest_cases(deliveries: DataFrame) -> DataFrame:
     own_node = F.col("m.node")
     record = _is_object(own_node)
     filename = F.coalesce(F.when(record, field(own_node, "filename", "string")), F.when(~record, F.try_variant_get(own_node, "$", "string")), F.col("m.name"))
-    files = items.select("manifest_id", "kind", "pos", "id", F.col("m.pos").alias("at"), filename.alias("filename"), F.when(record, field(own_node, "burst_group_id", "string")).alias("own")).where("filename is not null")
+    shared = ["manifest_id", "kind", "pos", "id", "member_pos"]
+    flat = cut(items.select("manifest_id", "kind", "pos", "id", F.col("m.pos").alias("member_pos"), filename.alias("filename"), F.when(record, "record").otherwise("text").alias("variant"), F.when(record, field(own_node, "burst_group_id", "string")).alias("own")).where("filename is not null"))
+    parts = subtype_tables(flat, ["record", "text"], shared)
+    files = parts["record"].unionByName(parts["text"], allowMissingColumns=True).withColumnRenamed("member_pos", "at")  # a text has no burst of its own
     near = files.repartition("manifest_id", "filename")
     is_burst, told = F.col("kind") == "b", F.coalesce(F.col("own"), F.lit("")) != ""
     cases = near.groupBy("manifest_id", "filename", "kind", F.when(~is_burst, F.col("id")).alias("cluster_id")).agg(

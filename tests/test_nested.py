@@ -54,3 +54,13 @@ def test_flat_tables_keep_parent_keys_and_variants(spark):
     parts = N.subtype_tables(flat["members"], ["record", "text"], ["manifest_id", "cluster_id"])
     assert parts["text"].columns == ["manifest_id", "cluster_id", "filename", "member_pos"] or set(parts["text"].columns) == {"manifest_id", "cluster_id", "filename", "member_pos"}
     assert parts["record"].count() == 1
+
+
+def test_cases_come_from_the_subtype_tables(spark, monkeypatch):
+    doc = {"clusters": [{"cluster_id": "c", "members": [{"filename": "r", "burst_group_id": "b1"}, "t", {"filename": "t2"}]}, {"cluster_id": "d", "member_filenames": ["n"]}], "burst_groups": [{"burst_group_id": "b2", "member_filenames": ["t", "t2"]}]}
+    routed, route = [], N.subtype_tables
+    monkeypatch.setattr(N, "subtype_tables", lambda *a: routed.append(route(*a)) or routed[-1])
+    assert cases(spark, [json.dumps(doc)]) == {(0, "c", "b1", "r"), (0, "c", "b2", "t"), (0, "c", "b2", "t2"), (0, "d", "", "n")}
+    (parts,) = routed
+    assert {v: sorted(r["filename"] for r in t.where("kind = 'c'").collect()) for v, t in parts.items()} == {"record": ["r", "t2"], "text": ["n", "t"]}
+    assert "own" in parts["record"].columns and "own" not in parts["text"].columns
