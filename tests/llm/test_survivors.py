@@ -39,6 +39,25 @@ def test_summed_votes_can_outweigh_one_record(spark):
     assert got(spark, rows, half_life_days=0.2)["K"]["path_value"] == "new"
 
 
+def test_spellings_of_a_value_share_their_votes(spark):
+    day = 86_400
+    rows = [
+        (1, "k", " p/a ", "2024-01-01T10:00", "exif", None, day), (2, "k", "p/a", "2024-01-01 10:00:00.0 ", "exif", None, day), (3, "k", "p/b", "2024-01-02T10:00:00", "exif", None, 2 * day),
+        (4, "z", "p/a\t", "2024-01-01T10:00:00Z", "exif", None, day), (5, "z", "p/b", "2024-01-01T12:00:00+02:00", "exif", None, day), (6, "z", "p/a", "2024-01-01T10:00:00", "exif", None, 2 * day),
+    ]
+    r = got(spark, rows, half_life_days=30.0)
+    assert (r["K"]["captured_record_id"], r["K"]["captured_value"], r["K"]["path_record_id"], r["K"]["path_value"]) == (1, "2024-01-01T10:00", 1, " p/a ")
+    assert 0.6 < r["K"]["captured_support"] < 0.7 and 0.6 < r["K"]["path_support"] < 0.7
+    assert (r["Z"]["captured_record_id"], r["Z"]["path_record_id"], r["Z"]["path_value"]) == (4, 6, "p/a") and 0.6 < r["Z"]["captured_support"] < 0.7
+
+
+def test_keys_of_iso_times(spark):
+    same = [["2024-01-01T10:00", "2024-01-01 10:00:00", " 2024-01-01T10:00:00,000"], ["2024-01-01T10:00Z", "2024-01-01T10:00:00+00:00", "2024-01-01T08:30-0130", "2024-01-01T12:00:00.0+02"], ["2024-01-01T10:00:00.123456789"], ["2024-01-01T10:00:00.12345678"], ["2023-12-31T23:59:59"]]
+    df = spark.createDataFrame([(i, t) for i, ts in enumerate(same) for t in ts], "i int, t string")
+    keys = {(r[0], r[1]) for r in df.select("i", S.iso_key(df["t"])).collect()}
+    assert len(keys) == len({k for _, k in keys}) == len(same)
+
+
 def test_iso_times(spark):
     good = ["2024-01-01T10:00:00", "2024-02-29 10:00", "2024-01-01T10:00:00.123456Z", "2024-01-01T10:00:00+01:00"]
     bad = ["2023-02-29T10:00:00", "2024-01-01", "0000-00-00T00:00:00", "2024-01-01T24:00:00", "10:00", "", "x" * 10_000, None]
