@@ -11,6 +11,7 @@ task holds an unbounded list and no row is dropped.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -93,19 +94,28 @@ def _split(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) ->
 
 
 def fit_centroids(x: np.ndarray, leaf: int, most: int, seed: int = 7) -> np.ndarray:
-    """Unit centroids of a hierarchical k-means that splits until a leaf has at most ``leaf`` rows."""
+    """Unit centroids of a hierarchical k-means that splits until a leaf has at most ``leaf`` rows.
+
+    The largest group is split first, so where ``most`` leaves end it, they are about equal.
+    """
     rng = np.random.default_rng(seed)
-    todo, done = [np.arange(len(x))], []
+    todo, done, made = [(-len(x), 0, np.arange(len(x)))], [], 1
     while todo:
-        rows = todo.pop()
-        k = min(8, math.ceil(len(rows) / max(leaf, 1)))
-        if k <= 1 or len(done) + len(todo) + k > most:
+        rows = heapq.heappop(todo)[2]
+        room = most - len(done) - len(todo)
+        k = min(8, math.ceil(len(rows) / max(leaf, 1)), room)
+        if k <= 1:
             done.append(rows)
             continue
         label = _split(x[rows], k, rng)
         parts = [rows[label == i] for i in range(k)]
         parts = [p for p in parts if len(p)]
-        (done if len(parts) == 1 else todo).extend(parts)  # equal vectors can't be split
+        if len(parts) == 1:  # equal vectors can't be split
+            done.append(rows)
+            continue
+        for p in parts:
+            heapq.heappush(todo, (-len(p), made, p))
+            made += 1
     centres = np.stack([x[r].mean(axis=0) for r in done])
     norm = np.linalg.norm(centres, axis=1, keepdims=True)
     return np.where(norm > 1e-9, centres / np.maximum(norm, 1e-12), x[[r[0] for r in done]]).astype(np.float32)
