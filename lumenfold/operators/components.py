@@ -28,42 +28,47 @@ def spread_labels(edges: DataFrame) -> DataFrame:
             return label
 
 
-def union_find(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, labels) of a small edge list; the label is the smallest node."""
-    nodes, flat = np.unique(np.concatenate([x, y]), return_inverse=True)
-    a, b = flat[: len(x)], flat[len(x) :]
-    parent = np.arange(len(nodes))
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of the nodes 0 .. n - 1 the smallest node it is connected with by the edges (a, b)."""
+    parent = np.arange(n)
     while True:
-        low = np.minimum(parent[a], parent[b])
         before = parent.copy()
+        low = np.minimum(parent[a], parent[b])
         np.minimum.at(parent, parent[a], low)
         np.minimum.at(parent, parent[b], low)
         while (parent != (up := parent[parent])).any():
             parent = up
         if (parent == before).all():
-            return nodes, nodes[parent]
+            return parent
+
+
+def union_find(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, labels, edges) of a small edge list: the label is the smallest node, edges the position of one edge of each node."""
+    nodes, first, flat = np.unique(np.concatenate([x, y]), return_index=True, return_inverse=True)
+    return nodes, nodes[least_labels(len(nodes), flat[: len(x)], flat[len(x) :])], first % max(len(x), 1)
 
 
 def connected_components(edges: DataFrame, by: list[str], most_edges: int = 500_000) -> DataFrame:
     """(by..., node, label) of the nodes of ``edges`` (by..., x, y), BIGINT nodes that belong to one group each.
 
-    Groups of at most ``most_edges`` edges are solved in one task each; the edges of larger
+    Groups of at most ``most_edges`` edges are solved many in a task, the edges of larger
     ones are spread over all tasks. Both give the smallest node as label.
     """
     edges = cut(edges.select(*by, "x", "y"))
-    sizes = edges.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > most_edges)
-    large = cut(sizes.drop("__n"))
+    counted = edges.groupBy(*by).agg(F.count("*").alias("__n"))
+    large = cut(counted.where(F.col("__n") > most_edges).drop("__n"))
     some = not large.isEmpty()
     small = edges.join(large, by, "left_anti") if some else edges
     kinds = dict(edges.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", node long, label long"
+    buckets = max(1, -(-edges.count() * 8 // most_edges))  # about an eighth of most_edges each, besides the groups that are larger alone
 
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        nodes, labels = union_find(group.column("x").to_numpy(), group.column("y").to_numpy())
-        keys = {c: pa.array([k.as_py()] * len(nodes), group.schema.field(c).type) for c, k in zip(by, key, strict=True)}
-        return pa.table(keys | {"node": nodes, "label": labels})
+    def run(bucket: pa.Table) -> pa.Table:
+        nodes, labels, at = union_find(bucket.column("x").to_numpy(), bucket.column("y").to_numpy())
+        own = bucket.select(by).take(pa.array(at))
+        return pa.table({c: own.column(c) for c in by} | {"node": nodes, "label": labels})
 
-    solved = small.groupBy(*by).applyInArrow(run, schema)
+    solved = small.groupBy(F.pmod(F.xxhash64(*by), F.lit(buckets)).alias("__bucket")).applyInArrow(run, schema)
     if not some:
         return solved
     rest = cut(edges.join(large, by))

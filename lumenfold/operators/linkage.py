@@ -142,7 +142,7 @@ def near_components(reps: DataFrame, sizes: DataFrame, most: float, by: list[str
             p, q = np.nonzero(1.0 - x[i : i + 512] @ x[i:].T <= most + 1e-9)
             p, q = label[p + i], label[q + i]
             if (apart := p != q).any():
-                old, new = union_find(p[apart], q[apart])
+                old, new, _ = union_find(p[apart], q[apart])
                 to = np.arange(len(x))
                 to[old] = new
                 label = to[label]

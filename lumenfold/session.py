@@ -23,6 +23,7 @@ def local_session(cpus: int | str = 8, app: str = "lumenfold", memory: str = "8g
         "spark.driver.memory": memory,
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # files of tables nobody holds any more
     } | conf
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     for key, value in settings.items():
@@ -48,13 +49,24 @@ def cut(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="lumenfold-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+def uncut(df: DataFrame) -> None:
+    """Deletes the files of a table ``cut`` made, once nothing that is still to run reads it; other tables stay as they are."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRDD":
+        return
+    stored = plan.rdd().getCheckpointFile()
+    if stored.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(stored.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most_rows`` rows; otherwise as it is, to be joined by shuffle."""
     return F.broadcast(df) if small_enough(df, most_rows) else df

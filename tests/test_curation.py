@@ -87,7 +87,7 @@ def test_both_component_paths_agree(spark):
 @hsettings(max_examples=60, deadline=None)
 def test_union_find(pairs):
     x, y = (np.array(c) for c in zip(*pairs))
-    nodes, label = components.union_find(x, y)
+    nodes, label, at = components.union_find(x, y)
     seen = dict(zip(nodes.tolist(), label.tolist()))
     assert all(seen[a] == seen[b] for a, b in pairs)
     groups = {n: {n} for n in seen}
