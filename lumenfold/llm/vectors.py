@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenfold.session import cut
+from lumenfold.session import broadcast_if_small, cut, uncut
 
 
 @dataclass(frozen=True)
@@ -44,11 +44,40 @@ class IndexParams:
     deep_lists: int = 4  # of these, the most a vector is stored or searched in
 
 
-def as_matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """The float32 matrix of a binary Arrow column whose values all have ``dim`` floats."""
+def _bytes_of(column: pa.Array) -> np.ndarray:
+    """The bytes of a binary Arrow column whose values all have the same length, a row for each value, without a copy."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, dim)
+    if not len(column):
+        return np.zeros((0, 0), np.uint8)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(column), -1)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as a binary Arrow column."""
+    flat = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1)
+    ends = np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+
+
+def as_matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """The float32 matrix of a binary Arrow column whose values all have ``dim`` floats."""
+    return _bytes_of(column).view(np.float32).reshape(-1, dim)
+
+
+def to_codes(x: np.ndarray) -> pa.Array:
+    """Vectors as 16-bit codes with a scale each: half the bytes, and dot products of unit vectors exact to about 10^-5."""
+    scale = np.maximum(np.abs(x).max(axis=1, keepdims=True, initial=0), 1e-30).astype(np.float32) / 32_767
+    return _binary(np.hstack([scale.view(np.uint8), np.rint(x / scale).astype(np.int16).view(np.uint8)]))
+
+
+def from_codes(column: pa.Array, dim: int) -> np.ndarray:
+    """The float32 matrix of a column of codes."""
+    rows = _bytes_of(column)
+    if not len(rows):
+        return np.zeros((0, dim), np.float32)
+    return np.ascontiguousarray(rows[:, 4:]).view(np.int16).astype(np.float32) * np.ascontiguousarray(rows[:, :4]).view(np.float32)
 
 
 def latest_vectors(embedding: DataFrame, dim: int = 128) -> DataFrame:
@@ -73,7 +102,7 @@ def latest_vectors(embedding: DataFrame, dim: int = 128) -> DataFrame:
                 good = np.isfinite(x).all(axis=1) & (peak > 0)
                 x = x[good] / peak[good][:, None]
             x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(good)), pa.array([v.tobytes() for v in x], pa.binary())], names=["photo_id", "vec"])
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(good)), _binary(x) if len(x) else pa.array([], pa.binary())], names=["photo_id", "vec"])
 
     return last.mapInArrow(unit, "photo_id long, vec binary")
 
@@ -129,13 +158,20 @@ class CentroidGraph:
     links of the best centroids that aren't opened yet until none of the beam is left.
     """
 
-    def __init__(self, centres: np.ndarray, degree: int = 16, fan: int = 16) -> None:
+    def __init__(self, centres: np.ndarray, degree: int = 16, fan: int = 16, built: tuple | None = None) -> None:
         self.centres = centres
+        if built is not None:
+            self.hubs, self.known, self.near = built
+            return
         n = len(centres)
         self.hubs = fit_centroids(centres, 6, n) if n > 64 else centres
         self.known = self._nearest(self.hubs, min(fan, n))
         self.near = self._nearest(centres, min(degree + 1, n))  # itself is one of them
 
+    def parts(self) -> tuple:
+        """What a graph is made again from, without building it."""
+        return self.centres, (self.hubs, self.known, self.near)
+
     def _nearest(self, of: np.ndarray, k: int) -> np.ndarray:
         found = np.empty((len(of), k), dtype=np.int32)
         for at in range(0, len(of), 1024):
@@ -197,41 +233,42 @@ def deepen(lists: DataFrame, large: DataFrame, params: IndexParams) -> DataFrame
     """
     wide = lists.join(large, "list_id")
     share = F.least(F.lit(1.0), F.lit(params.deep_sample * 0.9) / F.col("m"))
-    sample = wide.where(F.col("member") & (F.pmod(F.xxhash64("id", F.lit(13)), F.lit(1_000_000)) < share * 1_000_000)).select("list_id", "m", "vec")
+    sample = wide.where(F.col("member") & (F.pmod(F.xxhash64("id", F.lit(13)), F.lit(1_000_000)) < share * 1_000_000)).select("list_id", "m", "code")
 
     def fit(group: pa.Table) -> pa.Table:
-        x = as_matrix(group.column("vec"), params.dim)[: params.deep_sample]
+        x = from_codes(group.column("code"), params.dim)[: params.deep_sample]
         wanted = min(params.deep_centroids, math.ceil(group.column("m")[0].as_py() / params.list_target))
         centres = fit_centroids(x, max(4, math.ceil(len(x) / wanted)), params.deep_centroids)
         return pa.table({"list_id": group.column("list_id").slice(0, 1), "centres": pa.array([centres.tobytes()], pa.binary())})
 
     fitted = sample.groupBy("list_id").applyInArrow(fit, "list_id long, centres binary")
     chunks = F.greatest(F.lit(1), F.ceil(F.col("s") / params.deepen_rows)).cast("int")
-    rows = wide.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(3)), chunks).cast("int")).select("list_id", "chunk", "id", "vec", "member")
+    rows = wide.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(3)), chunks).cast("int")).select("list_id", "chunk", "id", "code", "member")
     centres = fitted.join(large, "list_id").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).select("list_id", "chunk", "centres")
 
     def assign(group: pa.Table, known: pa.Table) -> pa.Table:
         if not len(group) or not len(known):
-            return group.select(["list_id", "id", "vec", "member"])
+            return group.select(["list_id", "id", "code", "member"])
         graph = CentroidGraph(np.frombuffer(known.column("centres")[0].as_py(), np.float32).reshape(-1, params.dim))
         parts = []
         for at in range(0, len(group), 1024):
             piece = group.slice(at, 1024)
-            sub, row, store = choose_lists(graph, as_matrix(piece.column("vec"), params.dim), params, params.deep_lists)
-            out = piece.select(["list_id", "id", "vec", "member"]).take(pa.array(row))
+            sub, row, store = choose_lists(graph, from_codes(piece.column("code"), params.dim), params, params.deep_lists)
+            out = piece.select(["list_id", "id", "code", "member"]).take(pa.array(row))
             ids = (out.column("list_id").to_numpy() + 1) * 1_048_576 + sub
             member = out.column("member").to_numpy(zero_copy_only=False) & store
-            parts.append(pa.table({"list_id": ids, "id": out.column("id"), "vec": out.column("vec"), "member": member}))
+            parts.append(pa.table({"list_id": ids, "id": out.column("id"), "code": out.column("code"), "member": member}))
         return pa.concat_tables(parts)
 
-    divided = rows.groupBy("list_id", "chunk").cogroup(centres.groupBy("list_id", "chunk")).applyInArrow(assign, "list_id long, id long, vec binary, member boolean")
+    divided = rows.groupBy("list_id", "chunk").cogroup(centres.groupBy("list_id", "chunk")).applyInArrow(assign, "list_id long, id long, code binary, member boolean")
     return lists.join(large.select("list_id"), "list_id", "left_anti").unionByName(divided)
 
 
-def posting_blocks(vectors: DataFrame, params: IndexParams = IndexParams(), key: str = "photo_id") -> DataFrame:
-    """(list_id, block, id, vec, member, searcher): every vector in every list that stores or searches it.
+def posting_blocks(vectors: DataFrame, params: IndexParams = IndexParams(), key: str = "photo_id") -> tuple[DataFrame, DataFrame]:
+    """The stored lists, and (list_id, block, id, code, member, searcher): every vector in every list that stores or searches it.
 
     ``vectors`` has ``key`` and ``vec`` (unit length) and is read twice: give it evaluated.
+    The lists hold codes, which is what is shuffled; the caller may delete them by ``uncut`` once the blocks are read.
     """
     total = vectors.count()
     spark = vectors.sparkSession
@@ -241,18 +278,20 @@ def posting_blocks(vectors: DataFrame, params: IndexParams = IndexParams(), key:
     x = np.frombuffer(b"".join(sample), dtype=np.float32).reshape(-1, params.dim)
     wanted = min(params.max_centroids, math.ceil(total / params.list_target))
     centres = fit_centroids(x, max(4, math.ceil(len(x) / max(wanted, 1))), params.max_centroids) if len(x) else np.zeros((1, params.dim), np.float32)
-    sent = spark.sparkContext.broadcast(centres)  # at most max_centroids rows
+    sent = spark.sparkContext.broadcast(CentroidGraph(centres).parts())  # at most max_centroids rows, and their links
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = CentroidGraph(sent.value)
+        known, built = sent.value
+        graph = CentroidGraph(known, built=built)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 piece = batch.slice(at, 1024)
-                list_id, row, store = choose_lists(graph, as_matrix(piece.column("vec"), params.dim), params)
+                x = as_matrix(piece.column("vec"), params.dim)
+                list_id, row, store = choose_lists(graph, x, params)
                 picked = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(list_id.astype(np.int64)), piece.column(key).take(picked), piece.column("vec").take(picked), pa.array(store)], names=["list_id", "id", "vec", "member"])
+                yield pa.RecordBatch.from_arrays([pa.array(list_id.astype(np.int64)), piece.column(key).take(picked), to_codes(x).take(picked), pa.array(store)], names=["list_id", "id", "code", "member"])
 
-    lists = cut(vectors.select(F.col(key).cast("long").alias(key), "vec").mapInArrow(assign, "list_id long, id long, vec binary, member boolean"))
+    lists = cut(vectors.select(F.col(key).cast("long").alias(key), "vec").mapInArrow(assign, "list_id long, id long, code binary, member boolean"))
     sizes = cut(lists.groupBy("list_id").agg(F.count_if("member").alias("m"), F.count("*").alias("s")))  # one row for each centroid
     large = sizes.where(F.col("m") > params.deepen_rows)
     if not large.isEmpty():
@@ -264,11 +303,11 @@ def posting_blocks(vectors: DataFrame, params: IndexParams = IndexParams(), key:
     spread = lists.join(shape, "list_id").withColumns({"om": own_m, "os": own_s})
     as_member = F.col("member") & (F.col("block") % F.col("nm") == F.col("om"))
     as_searcher = F.floor(F.col("block") / F.col("nm")) == F.col("os")
-    return (
+    return lists, (
         spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("nm") * F.col("ns") - 1)))
         .withColumns({"as_member": as_member, "searcher": as_searcher})
         .where("as_member or searcher")
-        .select("list_id", "block", "id", "vec", F.col("as_member").alias("member"), "searcher")
+        .select("list_id", "block", "id", "code", F.col("as_member").alias("member"), "searcher")
     )
 
 
@@ -278,7 +317,7 @@ def search_blocks(blocks: DataFrame, found: Callable[[np.ndarray, np.ndarray, np
 
     def run(group: pa.Table) -> pa.Table:
         ids = group.column("id").to_numpy()
-        x = as_matrix(group.column("vec"), dim)
+        x = from_codes(group.column("code"), dim)
         s, m = group.column("searcher").to_numpy(), group.column("member").to_numpy()
         return pa.table(dict(zip(names, found(ids[s], x[s], ids[m], x[m]), strict=True)))
 
@@ -323,6 +362,22 @@ def copy_classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return copies, vectors.join(copies.where("photo_id != cid"), "photo_id", "left_anti")
 
 
+def exact_similarities(pairs: DataFrame, vectors: DataFrame, dim: int, few: int = 1_000_000) -> DataFrame:
+    """(a, b, w): the similarity of each pair (a, b), from the whole vectors (photo_id, vec)."""
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("photo_id")).distinct())
+    needed = vectors.join(broadcast_if_small(ids, few), "photo_id", "left_semi")
+    side = lambda c: needed.select(F.col("photo_id").alias(c), F.col("vec").alias(f"vec_{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (as_matrix(batch.column(f"vec_{c}"), dim).astype(np.float64) for c in "ab")
+                w = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(w.astype(np.float32))], names=["a", "b", "w"])
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long, w float")
+
+
 def neighbours(embedding: DataFrame, k: int = 5, least: float = 0.65, params: IndexParams = IndexParams()) -> DataFrame:
     """(photo_id, neighbour, similarity): for each photo about its ``k`` most similar photos of at least ``least``.
 
@@ -335,7 +390,9 @@ def neighbours(embedding: DataFrame, k: int = 5, least: float = 0.65, params: In
     copies, distinct = copy_classes(vectors)
     some = not copies.isEmpty()
     base = cut(distinct) if some else vectors
-    hits = search_blocks(posting_blocks(base, params), top_in_block(k, least), "id long, other long, similarity float", params.dim)
+    lists, blocks = posting_blocks(base, params)
+    hits = cut(search_blocks(blocks, top_in_block(k, least), "id long, other long, similarity float", params.dim))
+    uncut(lists)
     order = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
     best = hits.groupBy("id", "other").agg(F.max("similarity").alias("similarity")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     if not some:
