@@ -1,13 +1,15 @@
 """A corpus as token ids of a public byte-level BPE vocabulary.
 
-The pieces of all texts are cut by one regular expression in the JVM and counted; merging
-happens once for each distinct piece. The ranks of the substrings a piece has are looked up
-by a join with the rank table (whose size is that of the vocabulary), and a higher-order
-fold over the piece's byte boundaries takes the pair of lowest rank, the leftmost of equal
-ones, until none is left. The most frequent pieces, up to a documented number, form a
-dictionary that is sent to the workers which put documents together. Pieces beyond that
-number, or longer than a fold is good for, are merged where they occur by a heap with the
-same result, so no piece is dropped and none decides by its length what ids come out.
+The pieces of all texts are cut by one regular expression in the JVM; merging happens once
+for each distinct piece, however rare. The ranks of the substrings a piece has are looked up
+by a join with the rank table (whose size is that of the vocabulary) and kept by their
+start, and a higher-order fold over the piece's byte boundaries takes the pair of lowest
+rank, the leftmost of equal ones, until none is left. The ids are joined back to the pieces
+of the documents and put together in their order. The most frequent pieces, a bounded
+number, are broadcast for that, so the hot keys of the join move nothing; all others are
+joined by shuffle. A fold takes time quadratic in a piece, so distinct pieces beyond
+``fold_bytes`` (runs of one sign, mostly) are merged by a heap, once each, with the same
+ids.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +41,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 @dataclass(frozen=True)
 class TokenParams:
     vocabulary: str = VOCABULARY  # path of a file with base64 pieces and ranks
-    most_words: int = 200_000  # pieces in the dictionary sent to the workers, at most
-    fold_bytes: int = 48  # bytes of a piece up to which merges are folded in the JVM
+    most_words: int = 200_000  # pieces that are broadcast, at most; the others are joined by shuffle
+    fold_bytes: int = 512  # bytes of a piece up to which merges are folded in the JVM
 
 
 @lru_cache(maxsize=4)
@@ -86,46 +87,68 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def pieces_of(text: str = "text"):
+    """The pieces of a text in their order."""
+    return F.regexp_extract_all(text, F.lit(JAVA_PATTERN), F.lit(0))
+
+
 def distinct_pieces(documents: DataFrame) -> DataFrame:
     """(word, n): the pieces of all texts and how often they occur."""
-    return documents.where("text is not null").select(F.explode(F.regexp_extract_all("text", F.lit(JAVA_PATTERN), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return documents.where("text is not null").select(F.explode(pieces_of()).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def frequent_pieces(pieces: DataFrame, most: int) -> DataFrame:
-    """The most frequent pieces, at most ``most``: whole classes of frequency from the top, without a global sort."""
+    """``pieces`` with ``hot``: whether a piece is among the most frequent, at most ``most``, whole classes of frequency from the top."""
     stored = cut(pieces.withColumn("class", F.floor(F.log2("n") * 64)))
     classes = stored.groupBy("class").agg(F.count("*").alias("k"))  # at most 64 for each power of two
     whole = Window.orderBy(F.desc("class")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     least = classes.withColumn("so_far", F.sum("k").over(whole)).where(F.col("so_far") <= most).agg(F.min("class")).first()[0]
-    return stored.where(F.col("class") >= (least if least is not None else 1 << 20))
+    return stored.select("word", (F.col("class") >= (least if least is not None else 1 << 20)).alias("hot"))
 
 
 def fold_merges(words: DataFrame, params: TokenParams = TokenParams()) -> DataFrame:
-    """(word, ids): the ids of each distinct ``word`` of at most ``fold_bytes`` bytes, by a higher-order fold."""
+    """(word, ids): the ids of each distinct ``word`` of at most ``fold_bytes`` bytes, by a higher-order fold.
+
+    The steps keep a partitioning by ``word``, so nothing is shuffled if ``words`` has it.
+    """
     ranks = rank_table(words.sparkSession, params.vocabulary)
-    width = 256  # a span is start * width + stop
     longest = max(map(len, read_ranks(params.vocabulary)))
-    coded = words.select("word", F.encode("word", "UTF-8").alias("b")).withColumn("size", F.octet_length("b")).where(F.col("size").between(1, min(params.fold_bytes, width - 1)))
-    starts = F.sequence(F.lit(0), F.col("size") - 1)
-    stops = lambda i: F.sequence(i + 1, F.least(F.col("size"), i + longest))
-    spans = coded.select("word", "size", "b", F.explode(F.flatten(F.transform(starts, lambda i: F.transform(stops(i), lambda j: i * width + j)))).alias("span"))
-    start, stop = F.floor(F.col("span") / width), F.col("span") % width
-    known = spans.withColumn("piece", F.substring("b", start + 1, stop - start)).join(F.broadcast(ranks), "piece")  # a row for each entry of the vocabulary
-    maps = known.groupBy("word", "size").agg(F.map_from_entries(F.collect_list(F.struct("span", "rank"))).alias("ranks"))
+    coded = words.select("word", F.encode("word", "UTF-8").alias("b")).withColumn("size", F.octet_length("b")).where(F.col("size").between(1, params.fold_bytes))
+    starts = coded.select("word", "size", "b", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("start"))
+    spans = starts.select("word", "size", "b", "start", F.explode(F.sequence(F.lit(1), F.least(F.col("size") - F.col("start"), F.lit(longest)))).alias("len"))
+    known = spans.withColumn("piece", F.substring("b", F.col("start") + 1, F.col("len"))).join(F.broadcast(ranks), "piece")  # a row for each entry of the vocabulary
+    by_start = known.groupBy("word", "start").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("len", "rank"))).alias("r"))
+    # each byte is a piece, so every start has a place; its ranks are few
+    maps = by_start.groupBy("word").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("start", "r"))).alias("s")).select("word", "size", F.transform("s", lambda e: F.map_from_entries(e["r"])).alias("ranks"))
     no = F.lit(2**31 - 1)
+    rank = lambda i, j: F.try_element_at(F.get(F.col("ranks"), i), j - i)  # noqa: E731  (of the bytes from i to j)
 
     def step(cuts, _):
-        pairs = F.transform(F.sequence(F.lit(0), F.size(cuts) - 3), lambda t: F.coalesce(F.try_element_at(F.col("ranks"), F.get(cuts, t) * width + F.get(cuts, t + 2)), no))
+        pairs = F.transform(F.sequence(F.lit(0), F.size(cuts) - 3), lambda t: F.coalesce(rank(F.get(cuts, t), F.get(cuts, t + 2)), no))
         best = F.array_min(pairs)
         at = F.array_position(pairs, best).cast("int")  # of the left part, from 1
         merged = F.concat(F.slice(cuts, F.lit(1), at), F.slice(cuts, at + 2, F.size(cuts)))
         return F.when(F.size(cuts) < 3, cuts).when(best == no, cuts).otherwise(merged)
 
-    cuts = F.aggregate(F.sequence(F.lit(1), F.col("size")), F.sequence(F.lit(0), F.col("size")), step)
-    ids = F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), lambda t: F.try_element_at(F.col("ranks"), F.get(F.col("cuts"), t) * width + F.get(F.col("cuts"), t + 1)))
+    whole = rank(F.lit(0), F.col("size"))  # a piece that is an entry needs no merges
+    folded = F.aggregate(F.sequence(F.lit(1), F.col("size")), F.sequence(F.lit(0), F.col("size")), step)
+    cuts = F.when(whole.isNotNull(), F.array(F.lit(0), F.col("size"))).otherwise(folded)
+    ids = F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), lambda t: rank(F.get(F.col("cuts"), t), F.get(F.col("cuts"), t + 1)))
     return maps.withColumn("cuts", cuts).select("word", ids.alias("ids"))
 
 
+def merge_long(words: DataFrame, params: TokenParams = TokenParams()) -> DataFrame:
+    """(word, ids): the same for each distinct ``word`` of more than ``fold_bytes`` bytes, by a heap."""
+    sent = words.sparkSession.sparkContext.broadcast(read_ranks(params.vocabulary))  # as many entries as the vocabulary has
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [merge_bytes(w.encode(), sent.value) for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+
+    return words.select("word").where(F.octet_length("word") > params.fold_bytes).mapInArrow(run, "word string, ids array<int>")
+
+
 def encode(documents: DataFrame, params: TokenParams = TokenParams(), count_only: bool = False) -> DataFrame:
     """(doc_id, ids array<int>) or, with ``count_only``, (doc_id, n_tokens int): one row for each row of ``documents``.
 
@@ -133,42 +156,27 @@ def encode(documents: DataFrame, params: TokenParams = TokenParams(), count_only
     an empty list. Other columns don't matter; rows of a repeated doc_id stay.
     """
     spark = documents.sparkSession
-    texts = documents.select("doc_id", "text")
-    frequent = frequent_pieces(distinct_pieces(texts), params.most_words)
-    # the pieces are few bytes and much work, so their number of partitions is fixed and not merged by size
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    table = fold_merges(frequent.select("word").repartition(parts, "word"), params).toArrow()
-    ids = table.column("ids").combine_chunks() if len(table) else pa.array([], pa.list_(pa.int32()))
-    dictionary = spark.sparkContext.broadcast((table.column("word").to_pylist(), ids.offsets.to_numpy() if len(table) else np.zeros(1, np.int32), ids.flatten().to_numpy()))  # at most most_words pieces
-    path = spark.sparkContext.broadcast(read_ranks(params.vocabulary))  # as many entries as the vocabulary has
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        words, offsets, flat = dictionary.value
-        values, bounds = flat.tolist(), offsets.tolist()
-        known = {w: values[bounds[i] : bounds[i + 1]] for i, w in enumerate(words)}
-        ranks, cut_up = path.value, regex.compile(PATTERN).findall
-        extra: dict[str, list[int]] = {}
-        for batch in batches:
-            out: list[int] = []
-            sizes = [0]
-            for text in batch.column("text").to_pylist():
-                for word in cut_up(text) if text else ():
-                    got = known.get(word) or extra.get(word)
-                    if got is None:
-                        got = merge_bytes(word.encode(), ranks)
-                        if len(extra) < params.most_words and len(word) < 64:
-                            extra[word] = got
-                    out += got
-                sizes.append(len(out))
-            if count_only:
-                result = pa.array(np.diff(sizes).astype(np.int32))
-            else:
-                result = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(out, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), result], names=["doc_id", "n_tokens" if count_only else "ids"])
-
-    return texts.mapInArrow(run, "doc_id long, n_tokens int" if count_only else "doc_id long, ids array<int>")
+    # each text stays in one place while its pieces are exploded, looked up and put together again
+    texts = cut(documents.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
+    words = cut(frequent_pieces(distinct_pieces(texts), params.most_words).repartition(parts, "word"))
+    merged = fold_merges(words, params).unionByName(merge_long(words, params))
+    merged = cut(words.join(merged, "word").select("word", "hot", F.size("ids").alias("n") if count_only else "ids"))
+    value = F.col("n") if count_only else F.struct("pos", "ids")
+    gather = F.sum if count_only else F.collect_list
+    placed = texts.where("text is not null").repartition(parts, "row").select("row", F.posexplode(pieces_of()).alias("pos", "word"))
+    hot = F.broadcast(merged.where("hot").drop("hot"))  # at most most_words rows
+    found = placed.join(hot, "word").groupBy("row").agg(gather(value).alias("found"))
+    rare = merged.where(~F.col("hot")).drop("hot")
+    if not rare.isEmpty():
+        more = placed.join(hot, "word", "left_anti").join(rare, "word").groupBy("row").agg(gather(value).alias("more"))
+        both = F.coalesce("found", F.lit(0)) + F.coalesce("more", F.lit(0)) if count_only else F.concat(*[F.coalesce(c, F.array().cast("array<struct<pos:int,ids:array<int>>>")) for c in ("found", "more")])
+        found = found.join(more, "row", "full").select("row", both.alias("found"))
+    whole = texts.select("row", "doc_id").join(found, "row", "left")
+    if count_only:
+        return whole.select("doc_id", F.coalesce("found", F.lit(0)).cast("int").alias("n_tokens"))
+    ids = F.flatten(F.transform(F.array_sort("found"), lambda e: e["ids"]))
+    return whole.select("doc_id", F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
 
 
 def decode(encoded: DataFrame, params: TokenParams = TokenParams()) -> DataFrame:
