@@ -84,23 +84,42 @@ def valid_date(year: Column, month: Column, day: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def abbreviation_rows() -> tuple[tuple[str, str, int], ...]:
-    """(zone, abbreviation, offset in seconds) of every IANA zone, probed twice a month for 2000 to 2037.
+def abbreviation_rows() -> tuple[tuple[str, str, list[tuple[int, int]]], ...]:
+    """(zone, abbreviation, [(until, offset)..]) of every IANA zone, from 1970 to 2037.
 
-    The table is bounded by the number of zones. Where a zone used one abbreviation for
-    several offsets, the latest counts.
+    ``until`` is the last wall-clock second, counted from 1970, at which the zone meant
+    ``offset`` by the abbreviation; beyond the last the last holds. Zones are probed twice a
+    month and the ends found by halving. The table is bounded by the number of zones.
     """
-    found: dict[tuple[str, str], int] = {}
-    start = datetime(2000, 1, 1, tzinfo=timezone.utc)
-    moments = [start + timedelta(days=15 * i) for i in range(38 * 24)]
+    start = datetime(1970, 1, 1, tzinfo=timezone.utc)
+    moments = [start + timedelta(days=15 * i) for i in range(68 * 24 + 24)]
+    found = []
     for name in sorted(available_timezones()):
         zone = ZoneInfo(name)
-        for moment in moments:
+
+        def meant(moment: datetime, zone: ZoneInfo = zone) -> tuple[str, int]:
             local = moment.astimezone(zone)
-            short = local.tzname() or ""
+            return (local.tzname() or "").upper(), int(local.utcoffset().total_seconds())
+
+        spans: dict[str, list[list]] = {}
+        for moment in moments:
+            short, offset = meant(moment)
             if short.isalpha():
-                found[name, short.upper()] = int(local.utcoffset().total_seconds())
-    return tuple((z, a, o) for (z, a), o in found.items())
+                own = spans.setdefault(short, [])
+                if own and own[-1][0] == offset:
+                    own[-1][1] = moment
+                else:
+                    own.append([offset, moment])
+        for short, own in spans.items():
+            ends = []
+            for offset, last in own[:-1]:
+                low, high = last, last + timedelta(days=15)
+                while high - low > timedelta(seconds=1):
+                    middle = low + (high - low) / 2
+                    low, high = (middle, high) if meant(middle) == (short, offset) else (low, middle)
+                ends.append((int((low - start).total_seconds()) + offset, offset))
+            found.append((name, short, [*ends, (2**53, own[-1][0])]))
+    return tuple(found)
 
 
 def _offset_seconds(text: Column) -> Column:
@@ -170,10 +189,10 @@ def resolve_instants(df: DataFrame, text: str, zone: str, order: str, out: str =
         .drop(own["parts"])
     )
     spark = df.sparkSession
-    table = spark.createDataFrame(list(abbreviation_rows()), "__z string, __a string, __o long")  # bounded by the IANA zones
+    table = spark.createDataFrame(list(abbreviation_rows()), "__z string, __a string, __spans array<struct<until: long, off: long>>")  # bounded by the IANA zones
     joined = parsed.join(F.broadcast(table), (F.col(own["zone"]) == F.col("__z")) & (F.col(own["abbr"]) == F.col("__a")), "left")
     fixed = F.when(F.col(own["off"]).isNotNull(), _offset_seconds(F.col(own["off"]))).otherwise(
-        F.coalesce(F.col("__o"), F.when(F.col(own["abbr"]).isin("UTC", "GMT", "UT"), F.lit(0).cast("long")))
+        F.coalesce(F.get(F.filter("__spans", lambda e: e["until"] >= F.floor(F.col(own["wall"]) / 1_000_000)), F.lit(0))["off"], F.when(F.col(own["abbr"]).isin("UTC", "GMT", "UT"), F.lit(0).cast("long")))
     )
     wall = F.col(own["wall"])
     zoned = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(wall), F.coalesce(own["iana"], own["zone"])))

@@ -190,13 +190,15 @@ def quality_routes(spark, sf):
 
 
 @query(f"""
-WITH {_PHOTOS}, o AS (SELECT photo_id, day_name || '/' || upper(regexp_extract(relative_path, '^[^/]*/(.)', 1)) || '.jpg' AS target, lower(regexp_extract(source_path, '[^/]*$')) AS l, source_path, trip_id FROM a),
-r AS (SELECT *, row_number() OVER (PARTITION BY trip_id, target ORDER BY l, source_path) - 1 AS i FROM o)
-SELECT photo_id, CASE WHEN i = 0 THEN target ELSE replace(target, '.jpg', printf('__dup%02d.jpg', i)) END AS final_target FROM r
+WITH {_PHOTOS}, o AS (SELECT photo_id, day_name || '/' || upper(regexp_extract(relative_path, '^[^/]*/(.)', 1)) AS base, CASE WHEN photo_id % 7 = 0 THEN 1 ELSE 0 END AS k, lower(regexp_extract(source_path, '[^/]*$')) AS l, source_path, trip_id FROM a),
+r AS (SELECT *, row_number() OVER (PARTITION BY trip_id, base, k ORDER BY l, source_path) = 1 AS stays FROM o), t AS (SELECT trip_id, base, list(DISTINCT k) AS taken FROM o GROUP BY ALL),
+n AS (SELECT r.*, taken, row_number() OVER (PARTITION BY r.trip_id, r.base, stays ORDER BY l, source_path) AS turn FROM r JOIN t ON t.trip_id IS NOT DISTINCT FROM r.trip_id AND t.base IS NOT DISTINCT FROM r.base)
+SELECT photo_id, base || CASE WHEN stays THEN CASE WHEN k = 1 THEN '__dup01' ELSE '' END ELSE printf('__dup%02d', list_filter(range(1, turn + len(taken) + 1), lambda i: NOT list_contains(taken, i))[turn]) END || '.jpg' AS final_target FROM n
 """)
 def move_collisions(spark, sf):
-    """Names of files that want one target: the first gets it, others a counter."""
-    plan = _accepted(spark, sf, "trip_id", "day_name", "source_path", "relative_path").select("photo_id", "trip_id", "source_path", F.concat("day_name", F.lit("/"), F.upper(F.regexp_extract("relative_path", "^[^/]*/(.)", 1)), F.lit(".jpg")).alias("target"))
+    """Names of files that want one target, some of them numbered before: no two end at the same."""
+    mark = F.when(F.col("photo_id") % 7 == 0, "__dup01").otherwise("")
+    plan = _accepted(spark, sf, "trip_id", "day_name", "source_path", "relative_path").select("photo_id", "trip_id", "source_path", F.concat("day_name", F.lit("/"), F.upper(F.regexp_extract("relative_path", "^[^/]*/(.)", 1)), mark, F.lit(".jpg")).alias("target"))
     return moves.resolve_collisions(plan, by=["trip_id"]).select("photo_id", "final_target")
 
 

@@ -77,7 +77,7 @@ def run(spark: SparkSession, settings: Settings, build: Callable[[], embedding.E
         kept = root / settings.folders.rejected / settings.folders.not_photo
         for source in converted:  # an original is put aside, never deleted
             kept.mkdir(parents=True, exist_ok=True)
-            source.rename(moves._free(kept / source.name, settings.collision_mark))
+            source.rename(moves.unused_path(kept / source.name, settings.collision_mark))
     first = intake(spark, settings, decode)
     parts = [report.file_counts(first["files"]), report.quality_counts(first["assessed"])]
     moved = moves.apply_moves(first["plan"], settings)

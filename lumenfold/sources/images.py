@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions import expr
+from lumenfold.operators.moves import unused_path
 from lumenfold.settings import Settings
 
 #: Tags of the original, the digitized and the plain date, and of the orientation.
@@ -137,20 +138,28 @@ def luma(pixels: np.ndarray) -> np.ndarray:
     return np.floor(pixels.astype(np.float64) @ np.array([0.299, 0.587, 0.114]) + 0.5)
 
 
-def laplacian_variance(gray: np.ndarray) -> float:
-    """Population variance of neighbours minus four times the centre, over inner pixels; 0 below 3 pixels a side."""
-    if min(gray.shape) < 3:
-        return 0.0
-    edge = gray[:-2, 1:-1] + gray[2:, 1:-1] + gray[1:-1, :-2] + gray[1:-1, 2:] - 4 * gray[1:-1, 1:-1]
-    return float(edge.var())
+def second_differences(gray: np.ndarray) -> np.ndarray:
+    """The sum of the second differences along both axes, for inner pixels: the discrete Laplacian."""
+    return np.diff(gray, 2, axis=0)[:, 1:-1] + np.diff(gray, 2, axis=1)[1:-1]
 
 
 def blur_score(gray: np.ndarray, settings: Settings) -> float:
-    """Mean sharpness of the sharpest share of the tiles."""
+    """Mean sharpness of the sharpest share of the tiles; that of a tile is the variance of its second differences, 0 below 3 pixels a side.
+
+    The differences are taken once for the whole picture. A tile uses those of its inner
+    pixels; tiles differ by at most a pixel in size, larger ones first.
+    """
     limits = settings.quality
-    tiles = [t for band in np.array_split(gray, limits.tile_rows, axis=0) for t in np.array_split(band, limits.tile_cols, axis=1) if t.size]
-    scores = sorted(map(laplacian_variance, tiles), reverse=True)
-    return float(np.mean(scores[: max(1, int(np.ceil(len(scores) * limits.top_tiles)))])) if scores else 0.0
+    edge = second_differences(gray) if min(gray.shape) > 2 else np.zeros((0, 0))
+    bounds = [[i * (n // k) + min(i, n % k) for i in range(k + 1)] for n, k in zip(gray.shape, (limits.tile_rows, limits.tile_cols), strict=True)]
+    (tops, lefts), score = bounds, []
+    for y, below in zip(tops, tops[1:]):
+        for x, right in zip(lefts, lefts[1:]):
+            if below > y and right > x:
+                inner = edge[y : below - 2, x : right - 2] if min(below - y, right - x) > 2 else edge[:0]
+                score.append(inner.var() if inner.size else 0.0)
+    top = max(1, -int(-len(score) * limits.top_tiles // 1))
+    return float(np.mean(sorted(score)[-top:])) if score else 0.0
 
 
 def resample(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -229,10 +238,7 @@ def convert_heif(root: Path, encode_jpeg: Callable[[bytes], bytes], settings: Se
 
     done = {}
     for source in sorted((p for p in root.iterdir() if p.is_file() and p.suffix.lower() in (".heic", ".heif")), key=lambda p: (p.name.lower(), p.name)):
-        target, n = source.with_suffix(".jpg"), 0
-        while target.exists():
-            n += 1
-            target = source.with_name(f"{source.stem}{settings.conversion_mark}{n:02d}.jpg")
+        target = unused_path(source.with_suffix(".jpg"), settings.conversion_mark)
         part = target.with_name(f".{target.name}.part")
         try:
             part.write_bytes(encode_jpeg(source.read_bytes()))

@@ -183,6 +183,15 @@ def test_duplicates_within_their_scope_only(spark):
     assert {r["photo_id"]: r["new_name"] for r in alive.collect()} == {2: "c001_b001_001.JPG", 6: "c001_b001_002.JPG", 4: "c001_b002_001.JPG", 5: "c002_b003_001.JPG"}
 
 
+def test_numbered_names_of_a_plan_stay_apart(spark):
+    plan = spark.createDataFrame([("a/p.jpg", "day01/p.jpg", 1), ("b/p.jpg", "day01/p.jpg", 1), ("c/p__dup01.jpg", "day01/p__dup01.jpg", 1), ("d/p.jpg", "day01/p.jpg", 2)], "source_path string, target string, g int")
+    got = {r["source_path"]: r["final_target"] for r in moves.resolve_collisions(plan, by=["g"]).collect()}
+    assert got == {"a/p.jpg": "day01/p.jpg", "b/p.jpg": "day01/p__dup02.jpg", "c/p__dup01.jpg": "day01/p__dup01.jpg", "d/p.jpg": "day01/p.jpg"}
+    taken = spark.createDataFrame([("day01/p.jpg", 2)], "target string, g int")
+    again = {r["source_path"]: r["final_target"] for r in moves.resolve_collisions(plan, taken, by=["g"]).collect()}
+    assert again == got | {"d/p.jpg": "day01/p__dup01.jpg"}
+
+
 def test_collisions_skip_taken_numbers(spark):
     plan = spark.createDataFrame([("z/b.jpg", "day01/x.jpg"), ("a/B.jpg", "day01/x.jpg"), ("q/o.jpg", "day02/x.jpg"), ("c", "day01/plain")], "source_path string, target string")
     taken = spark.createDataFrame([("day01/x.jpg",), ("day01/x__dup02.jpg",)], "target string")

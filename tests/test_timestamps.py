@@ -77,3 +77,10 @@ def test_capture_instants_joins_and_repeats(spark):
     got = dict(T.capture_instants(photo, device, trip).collect())
     assert got == {1: us(2024, 1, 1, 10, 0, 0), 2: us(2024, 1, 1, 1, 0, 0), 5: 1610306900_000_000}
     assert T.capture_instants(photo.limit(0), device.limit(0), trip.limit(0)).count() == 0
+
+
+def test_abbreviations_mean_what_they_meant_at_their_time(spark):
+    hours = {"2012-06-01 12:00:00 MSK": 8, "2015-06-01 12:00:00 MSK": 9, "2005-01-15 12:00:00 MSK": 9, "2005-07-15 12:00:00 MSD": 8, "1985-01-15 12:00:00 MSK": 9, "2011-03-27 01:59:59 MSK": 22, "2011-03-27 03:00:00 MSK": 23}
+    df = spark.createDataFrame([(t, "Europe/Moscow", "dmy") for t in hours], "t string, z string, o string")
+    got = {r["t"]: (r["captured_us"] // 3_600_000_000) % 24 for r in T.resolve_instants(df, "t", "z", "o").collect()}
+    assert got == hours
