@@ -39,17 +39,18 @@ def virtual_times(documents: DataFrame, targets: DataFrame, params: TokenParams
     """(doc_id, source, copy, n_tokens, source_tokens, finish): every copy a mixture may hold, in virtual time.
 
     Sources are compared without case and surrounding blanks. Documents of a null or unlisted
-    source, or without tokens, are in no mixture; of a repeated doc_id the greatest row
-    counts. A source listed twice counts once, with its greatest share; shares that are
+    source, or without tokens, are in no mixture; of a repeated doc_id the row
+    of the greatest source, then size, counts. A source listed twice counts once, with its greatest share; shares that are
     null or not above zero, and repeats below one, leave a source out. A source's first
     copies all come before its second ones, each round in its own shuffled order.
     """
     listed = targets.select(normal_source(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("share"), F.coalesce("max_repeats", F.lit(1)).cast("int").alias("most"))
     listed = listed.where("source is not null and share > 0 and most >= 1").groupBy("source").agg(F.max("share").alias("share"), F.max("most").alias("most"))
     shares = listed.withColumn("share", F.col("share") / F.sum("share").over(Window.partitionBy(F.lit(1))))  # one row for each source
-    texts = documents.where("doc_id is not null").select("doc_id", F.struct(normal_source(F.col("source")).alias("source"), "text").alias("row")).groupBy("doc_id").agg(F.max("row").alias("row")).select("doc_id", "row.*")
-    texts = texts.join(shares.select("source"), "source", "left_semi")
-    sizes = cut(encode(texts, params, count_only=True).where("n_tokens > 0").join(documents.select("doc_id", normal_source(F.col("source")).alias("source")).groupBy("doc_id").agg(F.max("source").alias("source")), "doc_id"))
+    texts = documents.where("doc_id is not null").select("doc_id", normal_source(F.col("source")).alias("source"), "text").join(F.broadcast(shares.select("source")), "source", "left_semi")
+    # repeats go once the texts are numbers, so no text is shuffled for them
+    counted = encode(texts, params, count_only=True, keep=("source",)).where("n_tokens > 0")
+    sizes = cut(counted.groupBy("doc_id").agg(F.max(F.struct("source", "n_tokens")).alias("row")).select("doc_id", "row.*"))
     copies = sizes.join(shares, "source").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("most"))))
     turn = F.pmod(F.xxhash64("doc_id", "copy", F.lit(seed)), F.lit(1 << 40))
     many = max(1, -(-sizes.count() // bucket_rows))

@@ -21,13 +21,19 @@ from lumenfold.operators.timestamps import valid_date
 
 @dataclass(frozen=True)
 class Field:
-    """How a field is judged: ``value`` is null where unusable; ``trust`` ranks sources; ``recent`` prefers late records; ``same`` is equal for spellings of one value."""
+    """How a field is judged.
+
+    ``value`` is null where unusable; ``trust`` is that in the source, which weighs a vote;
+    ``prefer`` ranks values of equally trusted sources; ``recent`` prefers late records, and
+    lets votes decay; ``same`` is equal for spellings of one value.
+    """
 
     name: str
     value: Column
     trust: Column
     recent: bool = True
     same: Column | None = None
+    prefer: Column | None = None
 
 
 _ISO = r"^\s*(\d{4})-(\d{2})-(\d{2})[T ](\d{2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?([zZ]|[+-]\d{2}(?::?\d{2})?)?\s*$"
@@ -78,13 +84,13 @@ def field_winners(records: DataFrame, group: Column, record_id: str, recorded_at
         age = (F.lit(4_102_444_800.0) - F.coalesce(at / 1e6, now)) / 86_400  # to a fixed day, so a result doesn't depend on the clock
         decay = F.pow(F.lit(2.0), -(age / half_life_days) + F.lit(28_000 / half_life_days))
     choice = lambda f: F.struct(
-        F.lit(f.name).alias("field"), f.value.cast("string").alias("value"), F.when(f.value.isNotNull(), f.value if f.same is None else f.same).cast("string").alias("same"), f.trust.cast("double").alias("trust"),
+        F.lit(f.name).alias("field"), f.value.cast("string").alias("value"), F.when(f.value.isNotNull(), f.value if f.same is None else f.same).cast("string").alias("same"), f.trust.cast("double").alias("trust"), (F.lit(0.0) if f.prefer is None else f.prefer.cast("double")).alias("prefer"),
         (F.coalesce(at, F.lit(-(1 << 62))) if f.recent else F.lit(0).cast("long")).alias("recency"), (f.trust.cast("double") * decay if f.recent and half_life_days is not None else f.trust.cast("double")).alias("vote"),
     )
     rows = records.select(group.alias("group_key"), F.col(record_id).cast("long").alias("rid"), F.explode(F.array(*[choice(f) for f in fields])).alias("f")).where("group_key is not null and rid is not null")
     long = rows.select("group_key", "rid", "f.*")
-    # the best record of a value: most trusted, then latest, then of the smallest id
-    rank = F.struct("trust", "recency", (-F.col("rid")).alias("neg"), "value")
+    # the best record of a value: most trusted, then preferred, then latest, then of the smallest id
+    rank = F.struct("trust", "prefer", "recency", (-F.col("rid")).alias("neg"), "value")
     usable = F.col("value").isNotNull()
     values = long.groupBy("group_key", "field", "same").agg(
         F.max(F.when(usable, rank)).alias("best"), F.sum(F.when(usable, F.col("vote"))).alias("votes"), F.min("rid").alias("low"), F.max("rid").alias("high")
@@ -113,7 +119,7 @@ def member_fields() -> list[Field]:
     trust = F.when(source == "exif", 3.0).when(source == "mtime", 2.0).otherwise(1.0)
     sharp = (F.col("blur_score") >= 0) & ~F.isnan("blur_score") & (F.col("blur_score") < float("inf"))
     return [
-        Field("blur", F.when(sharp, F.col("blur_score")), F.when(sharp, F.col("blur_score")), recent=False),
+        Field("blur", F.when(sharp, F.col("blur_score")), F.lit(1.0), recent=False, prefer=F.when(sharp, F.col("blur_score"))),
         Field("captured", F.when(valid_iso_time(F.col("captured_at")), F.col("captured_at")), trust, same=iso_key(F.col("captured_at"))),
         Field("path", F.when(stripped(F.col("relative_path")) != "", F.col("relative_path")), F.lit(1.0), same=stripped(F.col("relative_path"))),
     ]

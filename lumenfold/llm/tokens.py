@@ -149,8 +149,8 @@ def merge_long(words: DataFrame, params: TokenParams = TokenParams()) -> DataFra
     return words.select("word").where(F.octet_length("word") > params.fold_bytes).mapInArrow(run, "word string, ids array<int>")
 
 
-def encode(documents: DataFrame, params: TokenParams = TokenParams(), count_only: bool = False) -> DataFrame:
-    """(doc_id, ids array<int>) or, with ``count_only``, (doc_id, n_tokens int): one row for each row of ``documents``.
+def encode(documents: DataFrame, params: TokenParams = TokenParams(), count_only: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, the columns ``keep``, ids array<int>) or, with ``count_only``, n_tokens int in place of ids: one row for each row of ``documents``.
 
     No special tokens: their strings in a text are ordinary text. A null or empty text has
     an empty list. Other columns don't matter; rows of a repeated doc_id stay.
@@ -158,7 +158,7 @@ def encode(documents: DataFrame, params: TokenParams = TokenParams(), count_only
     spark = documents.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     # each text stays in one place while its pieces are exploded, looked up and put together again
-    texts = cut(documents.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
+    texts = cut(documents.select("doc_id", *keep, "text").withColumn("row", F.monotonically_increasing_id()))
     words = cut(frequent_pieces(distinct_pieces(texts), params.most_words).repartition(parts, "word"))
     merged = fold_merges(words, params).unionByName(merge_long(words, params))
     merged = cut(words.join(merged, "word").select("word", "hot", F.size("ids").alias("n") if count_only else "ids"))
@@ -172,11 +172,11 @@ def encode(documents: DataFrame, params: TokenParams = TokenParams(), count_only
         more = placed.join(hot, "word", "left_anti").join(rare, "word").groupBy("row").agg(gather(value).alias("more"))
         both = F.coalesce("found", F.lit(0)) + F.coalesce("more", F.lit(0)) if count_only else F.concat(*[F.coalesce(c, F.array().cast("array<struct<pos:int,ids:array<int>>>")) for c in ("found", "more")])
         found = found.join(more, "row", "full").select("row", both.alias("found"))
-    whole = texts.select("row", "doc_id").join(found, "row", "left")
+    whole = texts.select("row", "doc_id", *keep).join(found, "row", "left")
     if count_only:
-        return whole.select("doc_id", F.coalesce("found", F.lit(0)).cast("int").alias("n_tokens"))
+        return whole.select("doc_id", *keep, F.coalesce("found", F.lit(0)).cast("int").alias("n_tokens"))
     ids = F.flatten(F.transform(F.array_sort("found"), lambda e: e["ids"]))
-    return whole.select("doc_id", F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
+    return whole.select("doc_id", *keep, F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
 
 
 def decode(encoded: DataFrame, params: TokenParams = TokenParams()) -> DataFrame:

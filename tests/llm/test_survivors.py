@@ -39,6 +39,13 @@ def test_summed_votes_can_outweigh_one_record(spark):
     assert got(spark, rows, half_life_days=0.2)["K"]["path_value"] == "new"
 
 
+def test_votes_for_a_blur_score_are_counted(spark):
+    rows = [(1, "k", None, None, None, 5.0, 1), (2, "k", None, None, None, 5.0, 2), (3, "k", None, None, None, 90.0, 3)]
+    assert got(spark, rows)["K"]["blur_record_id"] == 3
+    r = got(spark, rows, half_life_days=30.0)["K"]
+    assert (r["blur_record_id"], r["blur_value"]) == (1, "5.0") and abs(r["blur_support"] - 2 / 3) < 1e-9
+
+
 def test_spellings_of_a_value_share_their_votes(spark):
     day = 86_400
     rows = [
