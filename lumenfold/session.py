@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -67,6 +68,12 @@ def uncut(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; loops call it between their rounds."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most_rows`` rows; otherwise as it is, to be joined by shuffle."""
     return F.broadcast(df) if small_enough(df, most_rows) else df
