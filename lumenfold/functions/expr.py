@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,6 +73,11 @@ def hamming(left: Column, right: Column) -> Column:
     return F.bit_count(left.bitwiseXOR(right))
 
 
+def _given(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` evaluated once a row, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def dot(left: Column, right: Column) -> Column:
     """Sum of products of two arrays, in double."""
     return F.aggregate(F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -83,9 +90,8 @@ def norm(vector: Column) -> Column:
 
 def cosine(left: Column, right: Column) -> Column:
     """Cosine similarity; 0 if a side has length zero, null if a side is null or the lengths differ."""
-    both = norm(left) * norm(right)
     same = left.isNotNull() & right.isNotNull() & (F.size(left) == F.size(right))
-    return F.when(same & (both == 0), 0.0).when(same, dot(left, right) / both)
+    return _given(norm(left) * norm(right), lambda both: F.when(same & (both == 0), 0.0).when(same, dot(left, right) / both))
 
 
 def cosine_distance(left: Column, right: Column) -> Column:
@@ -94,9 +100,8 @@ def cosine_distance(left: Column, right: Column) -> Column:
 
 
 def unit(vector: Column) -> Column:
-    """The array scaled to length one; null if its length is zero."""
-    length = norm(vector)
-    return F.when(length > 0, F.transform(vector, lambda x: x.cast("double") / length))
+    """The array scaled to length one; null if its length is zero. The length is taken once, not for each value."""
+    return _given(norm(vector), lambda length: F.when(length > 0, F.transform(vector, lambda x: x.cast("double") / length)))
 
 
 def pixel_similarity(left: Column, right: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +19,11 @@ from lumenfold.session import cut
 MATRIX_ROWS, BLOCK_ROWS = 4_000, 8_192
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """The rows of a list column whose values all have the same length, without a Python object for each number."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
     """The rows with length one; rows of length zero stay."""
     x = np.asarray(vectors, dtype=np.float64)
@@ -136,7 +143,7 @@ def near_components(reps: DataFrame, sizes: DataFrame, most: float, by: list[str
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         node = group.column("node").to_numpy()
-        x = unit_rows(np.array(group.column("vector").to_pylist(), dtype=np.float64).reshape(len(group), -1))
+        x = unit_rows(_matrix(group.column("vector")))
         label = np.arange(len(x))
         for i in range(0, len(x), 512):
             p, q = np.nonzero(1.0 - x[i : i + 512] @ x[i:].T <= most + 1e-9)
@@ -166,7 +173,7 @@ def cluster_representatives(representatives: DataFrame, most: float, by: list[st
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", burst_id int, cluster_id int"
 
     def linked(group: pa.Table) -> list[list[int]]:
-        vectors = np.array(group.column("vector").to_pylist(), dtype=np.float64).reshape(len(group), -1)
+        vectors = _matrix(group.column("vector"))
         return (average_linkage if len(group) <= matrix_rows else linkage_by_sums)(group.column(name).to_pylist(), vectors, most)
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
@@ -214,10 +221,9 @@ def medoids(members: DataFrame, by: list[str], name: str = "relative_path", vect
     vectors, so the sums of a group replace its pairs. Means are compared to 9 decimals;
     ties go to the first name. A vector of length zero has distance one to every member.
     """
-    unit = members.withColumn("__u", F.coalesce(expr.unit(F.col(vector)), F.transform(vector, lambda x: F.lit(0.0))))
-    sums = unit.select(*by, F.posexplode("__u").alias("i", "x")).groupBy(*by, "i").agg(F.sum("x").alias("s"))
-    centre = sums.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda e: e["s"]).alias("__s"))  # one entry for each dimension
-    sizes = unit.groupBy(*by).agg(F.count("*").alias("member_count"))
+    unit = members.select(*by, name, vector).withColumn("__u", F.coalesce(expr.unit(F.col(vector)), F.transform(vector, lambda x: F.lit(0.0)))).select(*by, name, "__u", F.col(vector).isNotNull().alias("__v"))
+    centre = unit.where("__v").groupBy(*by).agg(Summarizer.sum(array_to_vector("__u")).alias("__s")).withColumn("__s", vector_to_array("__s"))  # whole vectors, not a row for each value
+    sizes = members.groupBy(*by).agg(F.count("*").alias("member_count"))
     scored = unit.join(centre, by).join(sizes, by).withColumn("mean", F.round(1.0 - expr.dot(F.col("__u"), F.col("__s")) / F.col("member_count"), 9))
     best = F.min(F.struct("mean", name)).alias("b")
     return scored.groupBy(*by).agg(best, F.first("member_count").alias("member_count")).select(*by, F.col(f"b.{name}").alias("medoid"), F.col("b.mean").alias("mean_distance"), "member_count")

@@ -1,5 +1,6 @@
 """Curation operators on literal scenes and against small brute-force versions."""
 
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -172,6 +173,22 @@ def test_medoid_ties_go_to_the_first_name(spark):
     assert {(r["g"], r["medoid"], r["member_count"]) for r in linkage.medoids(df, ["g"]).collect()} == {(1, "a", 2), (2, "x", 1), (3, "q", 3)}
 
 
+def test_lengths_are_taken_once_and_medoids_add_whole_vectors(spark):
+    rng = np.random.default_rng(4)
+    long = rng.normal(size=20_000)  # with its length taken anew for each value, 4 * 10^8 steps
+    began = time.monotonic()
+    got = spark.createDataFrame([(long.tolist(),)], "v array<double>").select(expr.unit(F.col("v")).alias("u")).first()["u"]
+    assert time.monotonic() - began < 10 and np.allclose(got, long / np.linalg.norm(long), rtol=1e-12)
+    rows = [(g, f"{i:03d}", rng.normal(size=16).tolist()) for g in range(20) for i in range(15)]
+    df = spark.createDataFrame(rows, "g int, relative_path string, vector array<double>")
+    found = linkage.medoids(df, ["g"])
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()  # no row for each value of a vector
+    for r in found.collect():
+        x = linkage.unit_rows(np.array([v for g, _, v in rows if g == r["g"]]))
+        mean = 1 - (x @ x.T).mean(axis=1)
+        assert (r["medoid"], r["member_count"]) == (f"{mean.argmin():03d}", 15) and abs(r["mean_distance"] - mean.min()) < 1e-8
+
+
 def test_duplicates_within_their_scope_only(spark):
     same = [1.0] * 10
     rows = [(i, "t", "day01", c, b, p, T0, s, f"day01/{i}.JPG") for i, c, b, p, s in [(1, 1, 1, same, 10.0), (2, 1, 1, same, 25.0), (3, 1, 1, same, 15.0), (4, 1, 2, same, 99.0), (5, 2, 3, same, None), (6, 1, 1, [200.0] * 10, 1.0)]]
